@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .textbytes import small_batches, whole_text
 
@@ -192,7 +193,7 @@ def read_media(stored: DataFrame, media_column: str = "media") -> DataFrame:
     kept = [c for c in stored.columns if c not in made]
     rows = stored.select(*[F.col(f"`{c}`") for c in kept])
     at = kept.index(media_column)
-    schema = rows.schema
+    schema = T.StructType(list(rows.schema.fields))
     for name, kind in made.items():
         schema = schema.add(name, kind)
 
