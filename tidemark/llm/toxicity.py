@@ -6,7 +6,7 @@ itself, for a letter it resembles, for nothing (separators), or a run may
 collapse. A Viterbi search picks the path that is likeliest under a character
 language model (four-grams counted over all documents, with the learned lexicon
 mixed in) and the channel's costs. The restored words and the plain words are
-then scored with a lexicon of words learned from labelled rows.
+then scored with a lexicon of words and word beginnings learned from labelled rows.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality_trees import labelled_sample
-from .textbytes import ALNUM, LOWER, NOT_SPACE, blocks, id_crc, prefix_hash, put_words, small_batches, span_hash, whole_text, word_spans
+from .textbytes import ALNUM, LOWER, NOT_SPACE, blocks, id_crc, mix, prefix_hash, small_batches, span_hash, whole_text, word_spans
 
 #: Labelled rows that the lexicon is fitted on, at most; scoring covers every row.
 SAMPLE_ROWS = 12_000
@@ -38,6 +38,11 @@ MEMO_LIMIT = 200_000
 #: How often each lexicon word is added to the corpus counts, as a share of all characters.
 LEXICON_SHARE = 0.02
 
+#: Bytes of the word beginnings that the lexicon may hold beside whole words.
+STEMS = (4, 5, 6, 7)
+#: A lexicon entry must explain this share of the toxic texts.
+NOISE_SHARE = 0.025
+
 SYMBOLS = 28
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[97:123] = np.arange(1, 27)
@@ -192,21 +197,29 @@ def suspicious(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.concatenate([of[whole], of[heads]]), np.concatenate([starts[whole], starts[heads]]), np.concatenate([ends[whole], ends[tails]])
 
 
+def word_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, word index): each word whole, and its beginnings of STEMS bytes where more follows a whole character."""
+    sums = prefix_hash(data)
+    hashes, words = [span_hash(sums, starts, ends)], [np.arange(len(starts))]
+    for k in STEMS:
+        at = np.flatnonzero(ends - starts > k)
+        at = at[(data[starts[at] + k] & 0xC0) != 0x80]
+        hashes.append(mix(span_hash(sums, starts[at], starts[at] + k) + np.uint64(k)))
+        words.append(at)
+    return np.concatenate(hashes), np.concatenate(words)
+
+
 @dataclass
 class ToxicityModel:
     """What scoring needs; its size is bounded by the alphabet and the lexicon, not by the corpus."""
 
     words: list[str]
-    weights: np.ndarray
-    rest: float  # log odds of a text without any lexicon word
+    hashes: np.ndarray  # of the words and word beginnings, sorted
+    weights: np.ndarray  # (entries, 2): of the first occurrence, and of a second one
+    rest: float  # log odds of a text without any of them
     characters: np.ndarray
     memo: dict[str, np.ndarray] = field(default_factory=dict)
 
-    def __post_init__(self) -> None:
-        hashes = put_words(self.words) if self.words else np.zeros(0, np.uint64)
-        order = np.argsort(hashes)
-        self.hashes, self.by_hash = hashes[order], np.arange(len(hashes))[order]
-
     def __getstate__(self) -> dict:
         return self.__dict__ | {"memo": {}}
 
@@ -215,14 +228,15 @@ class ToxicityModel:
         if not len(self.hashes) or not len(hashes):
             return np.full(len(hashes), -1)
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, self.by_hash[at], -1)
+        return np.where(self.hashes[at] == hashes, at, -1)
 
     def hidden(self, segment: str) -> np.ndarray:
-        """Lexicon words in the decoded segment."""
+        """Lexicon entries in the decoded segment."""
         found = self.memo.get(segment)
         if found is None:
-            words = decode(segment, self.characters).split()
-            found = self.find(put_words(words)) if words else np.zeros(0, np.int64)
+            data = np.frombuffer(decode(segment, self.characters).encode(), np.uint8)
+            starts, ends, _ = word_spans(data, np.array([0, len(data)]), NOT_SPACE)
+            found = self.find(word_features(data, starts, ends)[0])
             found = found[found >= 0]
             if len(self.memo) >= MEMO_LIMIT:
                 self.memo.clear()
@@ -231,88 +245,120 @@ class ToxicityModel:
         return found
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(score, lexicon words found plainly, lexicon words restored) for each text of a block."""
-        n, k = len(offsets) - 1, max(1, len(self.words))
+        """(score, lexicon entries found plainly, entries restored) for each text of a block."""
+        n, k = len(offsets) - 1, max(1, len(self.hashes))
         low = LOWER[data]
         starts, ends, firsts = word_spans(low, offsets, ALNUM)
         of = np.repeat(np.arange(n), np.diff(firsts))
-        hit = self.find(span_hash(prefix_hash(low), starts, ends))
-        plain = np.unique(of[hit >= 0] * k + hit[hit >= 0])
+        hashes, words = word_features(low, starts, ends)
+        hit = self.find(hashes)
+        plain = of[words[hit >= 0]] * k + hit[hit >= 0]
         raw, more = low.tobytes(), []
         for text, start, end in zip(*(x.tolist() for x in suspicious(low, offsets)), strict=True):
             more += [text * k + w for w in self.hidden(raw[start:end].decode("utf-8", "replace")).tolist()]
-        restored = np.setdiff1d(np.array(more, np.int64), plain)
-        both = np.concatenate([plain, restored])
-        odds = self.rest + np.bincount(both // k, self.weights[both % k] if len(self.weights) else None, minlength=n)[:n]
+        restored = np.array(more, np.int64)
+        keys, times = np.unique(np.concatenate([plain, restored]), return_counts=True)
+        odds = np.full(n, self.rest)
+        if len(keys):
+            odds += np.bincount(keys // k, self.weights[keys % k, 0] + self.weights[keys % k, 1] * (times > 1), minlength=n)
         return 1 / (1 + np.exp(-np.clip(odds, -30, 30))), np.bincount(plain // k, minlength=n)[:n], np.bincount(restored // k, minlength=n)[:n]
 
 
-def learn_lexicon(toxic: list[np.ndarray], clean: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, float]:
-    """(word hashes, weights, log odds without any) from the distinct word hashes of labelled texts.
+def learn_lexicon(found: list[np.ndarray], toxic: np.ndarray, sizes: np.ndarray) -> tuple[list[int], np.ndarray, float]:
+    """(signs picked, weights, log odds without any), from the signs found in each labelled text.
 
-    Words are taken one by one: each time the one that explains the most toxic
-    texts not explained yet, clean ones weighed against it, until what a word
-    adds could be label noise.
+    A sign is an entry that occurs, or one that occurs twice. Signs are taken
+    one by one by what they explain: toxic texts not explained yet, with a
+    quarter of all toxic texts that have the sign, against three times the clean
+    ones. The search ends where this could be label noise. A sign that explains
+    nothing new is taken only if it is pure, common and not just another form of
+    one taken before. Of signs that explain as much, the longest is taken.
     """
-    n_toxic, n_clean = len(toxic), len(clean)
-    none = np.zeros(0, np.uint64)
-    if not n_toxic:
-        return none, np.zeros(0), math.log(0.5 / (n_clean + 1))
-    words, found = np.unique(np.concatenate(toxic), return_counts=True)
-    least = max(3, round(0.01 * n_toxic))
-    words = words[found >= least]
-    seen = np.zeros(len(words), np.int64)
-    if clean and len(words):
-        flat = np.concatenate(clean)
-        at = np.minimum(np.searchsorted(words, flat), len(words) - 1)
-        seen = np.bincount(at[words[at] == flat], minlength=len(words))
-    has = np.array([np.isin(words, t) for t in toxic]) if len(words) else np.zeros((n_toxic, 0), bool)
+    n_toxic, n_clean, signs = int(toxic.sum()), int((~toxic).sum()), len(sizes)
+    has = np.zeros((n_toxic, signs), bool)
+    for row, at in zip(has, (x for x, t in zip(found, toxic, strict=True) if t), strict=True):
+        row[at] = True
+    clean = [x for x, t in zip(found, toxic, strict=True) if not t]
+    seen = np.bincount(np.concatenate([np.zeros(0, np.int64), *clean]), minlength=signs)[:signs]
     total, left, picked = has.sum(0), np.ones(n_toxic, bool), []
-    rare = seen / max(1, n_clean) <= 0.1 * total / n_toxic
-    while has.shape[1]:
-        gain = has[left].sum(0) - 3 * seen
-        best = int(np.argmax(np.where(rare & (total - seen > 0), gain, -1)))
-        if not rare[best] or gain[best] < least:
+    least = max(3, round(NOISE_SHARE * n_toxic))
+    rare = (seen / max(1, n_clean) <= 0.1 * total / max(1, n_toxic)) & (total > 0)
+    pure = (seen <= 0.002 * n_clean) & (total >= max(3, 0.1 * n_toxic))
+    while rare.any():
+        fresh = has[left].sum(0)
+        gain = np.where(rare & ((fresh > 1) | pure), fresh + total / 4 - 3 * seen + sizes / 1000, -1)
+        best = int(np.argmax(gain))
+        if gain[best] < least:
             break
         picked.append(best)
         left &= ~has[:, best]
-    free_clean = sum(not np.isin(words[picked], c, assume_unique=True).any() for c in clean) if picked else n_clean
+        rare[best] = False
+        pure &= (has & ~has[:, [best]]).sum(0) > 0.2 * total
+    free_clean = sum(not np.isin(picked, x).any() for x in clean)
     weights = np.log((total[picked] + 0.5) / (n_toxic + 1)) - np.log((seen[picked] + 0.5) / (n_clean + 1))
     rest = math.log((left.sum() + 0.5) / (free_clean + 0.5))
-    # one word must be able to decide, however thin the sample
-    return words[picked], np.maximum(weights, 1.0 - rest), rest
+    # one sign must be able to decide, however thin the sample
+    return picked, np.maximum(weights, 1.0 - rest), rest
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
     """A model from at most `sample_rows` labelled rows outside the held-out fold and the characters of all texts."""
     small_batches(docs.sparkSession)
+    sample = labelled_sample(docs, labels, label, sample_rows).persist()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def features(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        data = LOWER[np.frombuffer(text.encode(), np.uint8)]
+        starts, ends, _ = word_spans(data, np.array([0, len(data)]), ALNUM)
+        return data, starts, ends, *word_features(data, starts, ends)
+
+    def of_toxic(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([np.unique(features(t)[3]).tobytes() for t in batch.column(0).to_pylist()], pa.binary()), batch.column(0)], ["entries", "text"])
+
+    # each toxic text of the bounded sample, with the hashes of its words and their beginnings
+    toxic = sample.where("label = 1").select("text").mapInArrow(of_toxic, "entries binary, text string").toPandas().sort_values("text")
+    each, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in toxic["entries"])]), return_counts=True)
+    frequent = each[n >= max(3, round(0.005 * len(toxic)))]
+
+    def of_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            y, texts, out = batch.column(1).to_pylist(), batch.column(0), []
-            for _, _, data, offsets in blocks(texts):
-                low = LOWER[data]
-                starts, ends, firsts = word_spans(low, offsets, ALNUM)
-                hashes = span_hash(prefix_hash(low), starts, ends)
-                out += [np.unique(hashes[a:b]).tobytes() for a, b in zip(firsts[:-1], firsts[1:], strict=True)]
-            told = [t if v else None for t, v in zip(texts.to_pylist(), y, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), batch.column(1), pa.array(told, pa.string())], ["words", "y", "text"])
-
-    got = labelled_sample(docs, labels, label, sample_rows).mapInArrow(run, "words binary, y int, text string").toPandas()
-    sets = [np.frombuffer(x, np.uint64) for x in got["words"]]
-    hashes, weights, rest = learn_lexicon([s for s, v in zip(sets, got["y"], strict=True) if v], [s for s, v in zip(sets, got["y"], strict=True) if not v])
+            out = []
+            for t in batch.column(0).to_pylist():
+                own, times = np.unique(features(t)[3], return_counts=True)
+                at = np.searchsorted(frequent, own)
+                known = at < len(frequent)
+                known[known] = frequent[at[known]] == own[known]
+                out.append(np.concatenate([at[known], at[known & (times > 1)] + len(frequent)]).astype("<i4").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), batch.column(1)], ["found", "label"])
+
     names: dict[int, str] = {}
-    for text in got["text"].dropna():
-        data, offsets = np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())])
-        low = LOWER[data]
-        starts, ends, _ = word_spans(low, offsets, ALNUM)
-        spans = span_hash(prefix_hash(low), starts, ends)
-        for i in np.flatnonzero(np.isin(spans, hashes)).tolist():
-            names.setdefault(int(spans[i]), low[starts[i] : ends[i]].tobytes().decode("utf-8", "replace"))
-        if len(names) == len(hashes):
-            break
+    for text in toxic["text"]:
+        data, starts, ends, own, words = features(text)
+        cuts = _stem_cuts(starts, ends, data)
+        for i in np.flatnonzero(np.isin(own, frequent)).tolist():
+            if int(own[i]) not in names:
+                k = ends[words[i]] - starts[words[i]] if i < len(starts) else STEMS[int(np.searchsorted(cuts, i, "right")) - 1]
+                names[int(own[i])] = data[starts[words[i]] : starts[words[i]] + k].tobytes().decode("utf-8", "replace")
+    got = sample.mapInArrow(of_all, "found binary, label int").toPandas().sort_values(["label", "found"])
+    sample.unpersist()
+    found = [np.frombuffer(x, "<i4").astype(np.int64) for x in got["found"]]
+    sizes = np.array([len(names[int(h)]) for h in frequent], np.int64)
+    picked, gained, rest = learn_lexicon(found, got["label"].to_numpy() == 1, np.concatenate([sizes, sizes]))
+    used = np.unique(np.array(picked, np.int64) % max(1, len(frequent)))
+    hashes, weights = frequent[used], np.zeros((len(used), 2))
+    for sign, weight in zip(picked, gained, strict=True):
+        weights[np.searchsorted(used, sign % len(frequent)), sign // len(frequent)] = weight
     words = [names[int(h)] for h in hashes]
-    return ToxicityModel(words, weights, rest, character_model(count_characters(docs), words))
+    return ToxicityModel(words, hashes, weights, rest, character_model(count_characters(docs), words))
+
+
+def _stem_cuts(starts: np.ndarray, ends: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Where the hashes of each stem length begin in what ``word_features`` returns."""
+    sizes = [len(starts)]
+    for k in STEMS[:-1]:
+        at = np.flatnonzero(ends - starts > k)
+        sizes.append(int(((data[starts[at] + k] & 0xC0) != 0x80).sum()))
+    return np.cumsum(sizes)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
