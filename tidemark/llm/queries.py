@@ -25,6 +25,15 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_media(store_texts(_documents(spark, sf_dir))).select("doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrase_index import decontaminate
+
+    found = decontaminate(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10, near=30)
+    items = F.array_distinct("items")
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["length"])
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"), F.size("near_items").cast("long").alias("n_near"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_trees import fit_quality, score_quality
 
@@ -41,7 +50,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_toxicity, op2_media_columns, op8_quality, op10_token_counts]
+    named = [op1_toxicity, op2_media_columns, op6_decontamination, op8_quality, op10_token_counts]
     return {f.__name__: f for f in named}
 
 
