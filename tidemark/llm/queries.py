@@ -25,6 +25,13 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_media(store_texts(_documents(spark, sf_dir))).select("doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op3_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import hex16, near_duplicates
+
+    found = near_duplicates(_documents(spark, sf_dir), words=4, max_distance=4, segments=3)
+    return found.select("doc_id", hex16("f0").alias("fingerprint"), "component_id")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .phrase_index import decontaminate
 
@@ -50,7 +57,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_toxicity, op2_media_columns, op6_decontamination, op8_quality, op10_token_counts]
+    named = [op1_toxicity, op2_media_columns, op3_simhash_near_duplicates, op6_decontamination, op8_quality, op10_token_counts]
     return {f.__name__: f for f in named}
 
 
