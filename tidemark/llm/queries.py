@@ -41,6 +41,12 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"), F.size("near_items").cast("long").alias("n_near"))
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .backoff_lm import score_texts
+
+    return score_texts(_documents(spark, sf_dir))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_trees import fit_quality, score_quality
 
@@ -57,7 +63,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_toxicity, op2_media_columns, op3_simhash_near_duplicates, op6_decontamination, op8_quality, op10_token_counts]
+    named = [op1_toxicity, op2_media_columns, op3_simhash_near_duplicates, op6_decontamination, op7_language_model, op8_quality, op10_token_counts]
     return {f.__name__: f for f in named}
 
 
