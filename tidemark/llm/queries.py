@@ -54,6 +54,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), threshold=0.3)
 
 
+def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeats
+
+    return remove_repeats(_documents(spark, sf_dir), min_bytes=400).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -63,7 +69,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_toxicity, op2_media_columns, op3_simhash_near_duplicates, op6_decontamination, op7_language_model, op8_quality, op10_token_counts]
+    named = [op1_toxicity, op2_media_columns, op3_simhash_near_duplicates, op6_decontamination, op7_language_model, op8_quality, op9_suffix_array, op10_token_counts]
     return {f.__name__: f for f in named}
 
 
