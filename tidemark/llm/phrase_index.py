@@ -42,18 +42,19 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return span_hash(prefix_hash(low), starts, ends), firsts
 
 
-def build_index(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def build_index(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", carry: list[str] | None = None) -> DataFrame:
     """One row per block of documents: (block, ids, words, terms, lists, places), little-endian arrays as binary.
 
-    ids: Arrow-encoded ids of the block's documents; words: words of each;
+    ids: Arrow-encoded ids of the block's documents, with the columns in `carry` as struct `carried`; words: words of each;
     terms: sorted distinct term hashes; lists: where each term's postings begin;
     places: positions, ascending within a term. Null texts have no words; a
     text of any length stays in one block; repeated rows are kept.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_column).alias("doc_id"), whole_text(text_column).alias("text"))
+    more = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] if carry else []
+    rows = docs.select(F.col(id_column).alias("doc_id"), whole_text(text_column).alias("text"), *more)
 
-    def pack(ids: list[pa.Array], hashes: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
+    def pack(ids: list[pa.RecordBatch], hashes: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
         n = np.concatenate(counts)
         place = np.arange(n.sum()) + np.repeat(GAP * np.arange(len(n)), n)
         all_hashes = np.concatenate(hashes)
@@ -61,8 +62,8 @@ def build_index(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         ordered = all_hashes[order]
         new = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
         sink = pa.BufferOutputStream()
-        table = pa.Table.from_arrays([pa.chunked_array(ids)], ["doc_id"])
-        with pa.ipc.new_stream(sink, table.schema) as out:
+        table = pa.Table.from_batches(ids)
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
             out.write_table(table)
         values = [sink.getvalue().to_pybytes(), n.astype("<i8").tobytes(), ordered[new].astype("<u8").tobytes(), np.append(new, len(ordered)).astype("<i4").tobytes(), place[order].astype("<i8").tobytes() if place.size and place[-1] >= 2**31 else place[order].astype("<i4").tobytes()]
         return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().bytes], pa.binary()), *(pa.array([v], pa.binary()) for v in values)], ["block", "ids", "words", "terms", "lists", "places"])
@@ -72,7 +73,7 @@ def build_index(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         for batch in batches:
             for lo, hi, data, offsets in blocks(batch.column(1)):
                 h, firsts = words_of(data, offsets)
-                ids.append(batch.column(0)[lo:hi])
+                ids.append(batch.select([0, *range(2, batch.num_columns)]).slice(lo, hi - lo))
                 hashes.append(h)
                 counts.append(np.diff(firsts))
                 size += len(data)
@@ -89,7 +90,7 @@ def build_index(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 class Postings:
     """One block of the index, opened."""
 
-    ids: pa.Array
+    ids: pa.Table
     words: np.ndarray
     terms: np.ndarray
     lists: np.ndarray
@@ -98,7 +99,7 @@ class Postings:
     @classmethod
     def of(cls, row: dict) -> Postings:
         with pa.ipc.open_stream(row["ids"]) as stream:
-            ids = stream.read_all().column(0).combine_chunks()
+            ids = stream.read_all().combine_chunks()
         words, lists = np.frombuffer(row["words"], "<i8"), np.frombuffer(row["lists"], "<i4").astype(np.int64)
         kind = "<i4" if len(row["places"]) == 4 * lists[-1] else "<i8"
         return cls(ids, words, np.frombuffer(row["terms"], "<u8"), lists, np.frombuffer(row["places"], kind).astype(np.int64))
@@ -227,7 +228,7 @@ def search(index: DataFrame, tests: TestSet, near: int = 0, near_terms: int = 4)
     (in the block) within `near` words of an occurrence of the rarest one.
     """
     shared = index.sparkSession.sparkContext.broadcast(tests)
-    kind = index_id_type(index)
+    kinds = index_types(index)
     names = [str(x) for x in tests.items]
 
     def one(name: bytes, block: Postings, t: TestSet) -> pa.RecordBatch:
@@ -259,8 +260,8 @@ def search(index: DataFrame, tests: TestSet, near: int = 0, near_terms: int = 4)
             for d in np.unique(np.searchsorted(firsts, place, "right") - 1).tolist():
                 nearby[d].append(names[i])
         return pa.RecordBatch.from_arrays(
-            [pa.array([name] * n, pa.binary()), pa.array(range(n), pa.int64()), block.ids, pa.array(block.words, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array([sorted(x) for x in nearby], pa.list_(pa.string()))],
-            ["block", "place", "doc_id", "n_words", "spans", "items", "near_items"],
+            [pa.array([name] * n, pa.binary()), pa.array(range(n), pa.int64()), block.ids.column(0).combine_chunks(), pa.array(block.words, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array([sorted(x) for x in nearby], pa.list_(pa.string())), *(c.combine_chunks() for c in block.ids.columns[1:])],
+            ["block", "place", "doc_id", "n_words", "spans", "items", "near_items", *block.ids.column_names[1:]],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,22 +270,22 @@ def search(index: DataFrame, tests: TestSet, near: int = 0, near_terms: int = 4)
                 yield one(row["block"], Postings.of(row), shared.value)
 
     small_batches(index.sparkSession, 1)
-    return index.mapInArrow(run, f"block binary, place long, doc_id {kind}, n_words long, spans array<struct<start:long,length:long>>, items array<string>, near_items array<string>")
+    return index.mapInArrow(run, f"block binary, place long, doc_id {kinds[0]}, n_words long, spans array<struct<start:long,length:long>>, items array<string>, near_items array<string>" + "".join(f", carried {k}" for k in kinds[1:]))
 
 
-def index_id_type(index: DataFrame) -> str:
-    """The SQL type of the ids in an index."""
+def index_types(index: DataFrame) -> list[str]:
+    """The SQL types of the ids in an index and of what is carried with them."""
     row = index.select("ids").first()
     if row is None:
-        return "long"
+        return ["long"]
     from pyspark.sql.pandas.types import from_arrow_type
 
     with pa.ipc.open_stream(bytes(row["ids"])) as stream:
-        return from_arrow_type(stream.schema.field(0).type).simpleString()
+        return [from_arrow_type(f.type).simpleString() for f in stream.schema]
 
 
-def decontaminate(docs: DataFrame, tests: DataFrame, window: int = WINDOW, near: int = 0) -> DataFrame:
-    """(doc_id, n_words, spans, items, near_items) for each document row.
+def decontaminate(docs: DataFrame, tests: DataFrame, window: int = WINDOW, near: int = 0, carry: list[str] | None = None) -> DataFrame:
+    """(doc_id, n_words, spans, items, near_items) for each document row, and the columns in `carry` as struct `carried`.
 
     Test items with null text have no words and match nothing; an item id that
     repeats counts once per text. Test sets beyond ITEMS_AT_ONCE items or
@@ -292,7 +293,7 @@ def decontaminate(docs: DataFrame, tests: DataFrame, window: int = WINDOW, near:
     broadcast stays bounded. Null texts have no words; an empty table of
     documents gives none, an empty test set no hits.
     """
-    index = saved(build_index(docs), "phrase_index")
+    index = saved(build_index(docs, carry=carry), "phrase_index")
     found: list[DataFrame] = []
     items: list = []
     texts: list[str] = []
@@ -314,7 +315,7 @@ def decontaminate(docs: DataFrame, tests: DataFrame, window: int = WINDOW, near:
     return (
         saved(rounds, "phrase_rounds")
         .groupBy("block", "place")
-        .agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), merged_spans(F.flatten(F.collect_list("spans"))).alias("spans"), *(F.array_sort(F.flatten(F.collect_list(c))).alias(c) for c in ("items", "near_items")))
+        .agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *([F.first("carried").alias("carried")] if carry else []), merged_spans(F.flatten(F.collect_list("spans"))).alias("spans"), *(F.array_sort(F.flatten(F.collect_list(c))).alias(c) for c in ("items", "near_items")))
         .drop("block", "place")
     )
 

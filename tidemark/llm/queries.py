@@ -32,6 +32,18 @@ def op3_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex16("f0").alias("fingerprint"), "component_id")
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_sources
+
+    return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op5_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_digests import scan
+
+    return scan(_documents(spark, sf_dir))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .phrase_index import decontaminate
 
@@ -69,9 +81,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_toxicity, op2_media_columns, op3_simhash_near_duplicates, op6_decontamination, op7_language_model, op8_quality, op9_suffix_array, op10_token_counts]
+    named = [op1_toxicity, op2_media_columns, op3_simhash_near_duplicates, op4_source_mixing, op5_license_digests, op6_decontamination, op7_language_model, op8_quality, op9_suffix_array, op10_token_counts]
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .license_digests import scan_sql
+    from .mixing import mix_sql
+
+    return {"op4_source_mixing": mix_sql(), "op5_license_digests": scan_sql()}

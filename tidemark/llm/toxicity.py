@@ -318,7 +318,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", sampl
     # each toxic text of the bounded sample, with the hashes of its words and their beginnings
     toxic = sample.where("label = 1").select("text").mapInArrow(of_toxic, "entries binary, text string").toPandas().sort_values("text")
     each, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in toxic["entries"])]), return_counts=True)
-    frequent = each[n >= max(3, round(0.005 * len(toxic)))]
+    # a sign in fewer toxic texts cannot reach what learn_lexicon asks for
+    frequent = each[n >= 0.8 * max(3, round(NOISE_SHARE * len(toxic)))]
 
     def of_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -361,24 +362,26 @@ def _stem_cuts(starts: np.ndarray, ends: np.ndarray, data: np.ndarray) -> np.nda
     return np.cumsum(sizes)
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
-    """(doc_id, held_out, score, predicted, plain_hits, restored_hits) for each row.
+def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5, carry: list[str] | None = None) -> DataFrame:
+    """(doc_id, held_out, score, predicted, plain_hits, restored_hits) for each row, and the columns in `carry` as struct `carried`.
 
     Null and empty texts get the score of a text without lexicon words; rows
     that repeat are scored each; other columns are not read; an empty table
     gives none. Texts are decoded whole, whatever their length.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select("doc_id", (id_crc() % 5 == 0).alias("held_out"), whole_text().alias("text"))
+    more = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] if carry else []
+    rows = docs.select("doc_id", (id_crc() % 5 == 0).alias("held_out"), whole_text().alias("text"), *more)
+    names = ["doc_id", "held_out", "score", "predicted", "plain_hits", "restored_hits", *rows.columns[3:]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = [model.score(data, offsets) for _, _, data, offsets in blocks(batch.column(2))] or [(np.zeros(0), np.zeros(0, int), np.zeros(0, int))]
             s, plain, restored = (np.concatenate(x) for x in zip(*done, strict=True))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32()), pa.array(plain, pa.int32()), pa.array(restored, pa.int32())],
-                ["doc_id", "held_out", "score", "predicted", "plain_hits", "restored_hits"],
+                [batch.column(0), batch.column(1), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32()), pa.array(plain, pa.int32()), pa.array(restored, pa.int32()), *batch.columns[3:]],
+                names,
             )
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int, plain_hits int, restored_hits int")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.mapInArrow(run, f"doc_id {kinds['doc_id']}, held_out boolean, score double, predicted int, plain_hits int, restored_hits int" + (f", carried {kinds['carried']}" if more else ""))
