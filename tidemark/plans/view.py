@@ -139,9 +139,9 @@ class MaterializedView:
         return {c: self.catalogs[c].latest_version() for c in set(self.base_tables.values())}
 
     # -- life ------------------------------------------------------------------
-    def create(self) -> None:
-        """Computes the view and stores it, its hidden state and its cursors as one version."""
-        now = self._now()
+    def create(self, at: dict[str, int] | None = None) -> None:
+        """Computes the view (at some versions of its sources, by default now) and stores it, its hidden state and its cursors as one version."""
+        now = at or self._now()
         c, _, merge = self._parts()
         made = {self.key: self.recompute(now)}
         if merge:
@@ -150,22 +150,28 @@ class MaterializedView:
             made[self.state_key] = merge.initial(rows, child)
         self.catalog.commit({}, made, {self._cursor(k): v for k, v in now.items()})
 
-    def pending(self) -> int:
-        """Versions of the source catalogs that changed a base table since the cursor."""
-        held, total = self.cursors(), 0
-        for cat, cursor in held.items():
+    def pending_by_source(self) -> dict[str, int]:
+        """For each source catalog, its versions since the cursor that changed a base table."""
+        out = {}
+        for cat, cursor in self.cursors().items():
             end = self.catalogs[cat].latest_version()
-            total += len({v for key, at in self.base_tables.items() if at == cat for v in self.catalogs[cat].table(key).changed_in(cursor + 1, end)})
-        return total
+            out[cat] = len({v for key, at in self.base_tables.items() if at == cat for v in self.catalogs[cat].table(key).changed_in(cursor + 1, end)})
+        return out
+
+    def pending(self) -> int:
+        return sum(self.pending_by_source().values())
 
     def pending_rows(self) -> int:
         """Rows in the change feeds of the base tables since the cursor."""
         held = self.cursors()
         return sum(self.catalogs[cat].table(key).changes(held[cat] + 1, self.catalogs[cat].latest_version()).count() for key, cat in self.base_tables.items())
 
-    def maintain(self) -> int | None:
-        """Brings the view up to the versions found at the start; returns the version made, or None if nothing changed."""
-        old, new = self.cursors(), self._now()
+    def maintain(self, to: dict[str, int] | None = None) -> int | None:
+        """Brings the view up to some versions of its sources (by default those found at the start).
+
+        Returns the version made, or None if the view's rows did not change.
+        """
+        old, new = self.cursors(), self._now() | (to or {})
         moved = {self._cursor(k): v for k, v in new.items()}
         touched = [(cat, key) for key, cat in self.base_tables.items() if self.catalogs[cat].table(key).changed_in(old[cat] + 1, new[cat])]
         if not touched:
