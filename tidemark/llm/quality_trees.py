@@ -175,10 +175,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", samp
             if x:
                 yield pa.RecordBatch.from_arrays([pa.array(np.vstack(x).astype("<f8").view(f"V{8 * len(FEATURES)}").ravel().tolist(), pa.binary()), batch.column(1)], ["x", "y"])
 
-    got = labelled_sample(docs, labels, label, sample_rows).mapInArrow(run, "x binary, y int").toPandas()
-    got = got.sort_values(["x", "y"], kind="stable")  # the order of rows must not change the sums
-    x = np.frombuffer(b"".join(got["x"]), "<f8").reshape(-1, len(FEATURES))
-    return fit_trees(x, got["y"].to_numpy(np.float64))
+    got = labelled_sample(docs, labels, label, sample_rows).mapInArrow(run, "x binary, y int").toArrow()
+    got = got.sort_by([("x", "ascending"), ("y", "ascending")])  # the order of rows must not change the sums
+    x = np.frombuffer(b"".join(got.column("x").to_pylist()), "<f8").reshape(-1, len(FEATURES))
+    return fit_trees(x, got.column("y").to_numpy().astype(np.float64))
 
 
 def score_quality(docs: DataFrame, trees: Trees, threshold: float = 0.3) -> DataFrame:

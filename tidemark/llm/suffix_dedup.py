@@ -40,7 +40,7 @@ MIN_BYTES = 400
 #: Suffixes in one bucket, about.
 BUCKET_ROWS = 400_000
 #: Bytes of text that are compared or cut together, about.
-CHUNK = 16 << 20
+CHUNK = 8 << 20
 
 _GRAM = 8
 _PLACE_BITS = np.uint64(30)

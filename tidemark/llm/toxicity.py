@@ -79,9 +79,9 @@ def count_characters(docs: DataFrame) -> np.ndarray:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], ["code", "n"])
 
-    sums = docs.select(whole_text().alias("text")).mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
+    sums = docs.select(whole_text().alias("text")).mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(SYMBOLS**4)
-    out[sums["code"].to_numpy(np.int64)] = sums["n"].to_numpy(np.float64)
+    out[sums.column("code").to_numpy()] = sums.column("n").to_numpy()
     return out
 
 
@@ -316,8 +316,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", sampl
             yield pa.RecordBatch.from_arrays([pa.array([np.unique(features(t)[3]).tobytes() for t in batch.column(0).to_pylist()], pa.binary()), batch.column(0)], ["entries", "text"])
 
     # each toxic text of the bounded sample, with the hashes of its words and their beginnings
-    toxic = sample.where("label = 1").select("text").mapInArrow(of_toxic, "entries binary, text string").toPandas().sort_values("text")
-    each, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in toxic["entries"])]), return_counts=True)
+    toxic = sample.where("label = 1").select("text").mapInArrow(of_toxic, "entries binary, text string").toArrow().sort_by("text")
+    flat_entries = np.frombuffer(b"".join(toxic.column("entries").to_pylist()), np.uint64)
+    each, n = np.unique(flat_entries, return_counts=True)
     # a sign in fewer toxic texts cannot reach what learn_lexicon asks for
     frequent = each[n >= 0.8 * max(3, round(NOISE_SHARE * len(toxic)))]
 
@@ -333,18 +334,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", sampl
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), batch.column(1)], ["found", "label"])
 
     names: dict[int, str] = {}
-    for text in toxic["text"]:
+    for text in toxic.column("text").to_pylist():
         data, starts, ends, own, words = features(text)
         cuts = _stem_cuts(starts, ends, data)
         for i in np.flatnonzero(np.isin(own, frequent)).tolist():
             if int(own[i]) not in names:
                 k = ends[words[i]] - starts[words[i]] if i < len(starts) else STEMS[int(np.searchsorted(cuts, i, "right")) - 1]
                 names[int(own[i])] = data[starts[words[i]] : starts[words[i]] + k].tobytes().decode("utf-8", "replace")
-    got = sample.mapInArrow(of_all, "found binary, label int").toPandas().sort_values(["label", "found"])
+    got = sample.mapInArrow(of_all, "found binary, label int").toArrow().sort_by([("label", "ascending"), ("found", "ascending")])
     sample.unpersist()
-    found = [np.frombuffer(x, "<i4").astype(np.int64) for x in got["found"]]
+    found = [np.frombuffer(x, "<i4").astype(np.int64) for x in got.column("found").to_pylist()]
     sizes = np.array([len(names[int(h)]) for h in frequent], np.int64)
-    picked, gained, rest = learn_lexicon(found, got["label"].to_numpy() == 1, np.concatenate([sizes, sizes]))
+    picked, gained, rest = learn_lexicon(found, got.column("label").to_numpy() == 1, np.concatenate([sizes, sizes]))
     used = np.unique(np.array(picked, np.int64) % max(1, len(frequent)))
     hashes, weights = frequent[used], np.zeros((len(used), 2))
     for sign, weight in zip(picked, gained, strict=True):
