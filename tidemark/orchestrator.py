@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from .plans.view import MaterializedView, Naming, compile_ivm
 from .sources.plugins import ChangeSet, Effector, EffectorResult, FlushResult, Sink, Source, SyncResult
@@ -294,7 +295,7 @@ class Orchestrator:
             rows, names = [], [n for n, _ in e.columns]
             olds: dict[int, dict] = {}
             # side effects are ordered, so rows come to the driver one partition at a time
-            for r in table.changes(start, end).orderBy("change_id", "change_type").toLocalIterator():
+            for r in table.changes(start, end).orderBy("change_id", F.col("change_type") == AFTER).toLocalIterator():
                 row = r.asDict()
                 pair, kind = row.pop("change_id"), row.pop("change_type")
                 row.pop("snapshot_id")
