@@ -24,7 +24,7 @@ from .quality_trees import labelled_sample
 from .textbytes import ALNUM, LOWER, NOT_SPACE, blocks, id_crc, mix, prefix_hash, small_batches, span_hash, whole_text, word_spans
 
 #: Labelled rows that the lexicon is fitted on, at most; scoring covers every row.
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 8_000
 #: Letters that a character is commonly written for.
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "*": "aeiou"}
 #: Characters put between the letters of a word.
@@ -351,6 +351,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", sampl
     for sign, weight in zip(picked, gained, strict=True):
         weights[np.searchsorted(used, sign % len(frequent)), sign // len(frequent)] = weight
     words = [names[int(h)] for h in hashes]
+    del found, got, toxic, flat_entries, names
+    pa.default_memory_pool().release_unused()
     return ToxicityModel(words, hashes, weights, rest, character_model(count_characters(docs), words))
 
 
