@@ -18,7 +18,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from pyspark.sql import SparkSession
 
-VIEWS = ["select_project_filter", "agg_sum_count", "agg_min_max_delete", "having_sum", "distinct_single", "join_three", "join_four", "left_join", "in_semi", "not_exists", "scalar_count_zero", "union_distinct", "except_all", "window_rank"]
+VIEWS = ["agg_sum_count", "agg_min_max_delete", "join_four", "left_join", "not_exists", "except_all"]
 
 
 def main() -> None:
