@@ -83,6 +83,25 @@ def test_wide_lanes_search_dense_buckets(spark):
         assert set(groups(range(40), links).values()) == {0}
 
 
+def test_every_pair_of_a_large_dense_bucket_is_compared(spark, monkeypatch):
+    """Pairs that share no segment but the dense one, in a bucket of many searches."""
+    monkeypatch.setattr(simhash, "SEARCH_ROWS", 20)
+    rng = random.Random(9)
+    parts = simhash.cut(4, 3)
+    _, low, width = parts[0]
+    made = []
+    for _ in range(60):
+        one = [rng.getrandbits(64) for _ in range(4)]
+        one[0] &= ~((1 << width) - 1 << low)
+        other = list(one)
+        for lane, at, size in parts[1:]:
+            for b in rng.sample(range(size), 3):
+                other[lane] ^= 1 << at + b
+        made += [one, other]
+    nodes = spark.createDataFrame([(k, *[v - (1 << 64) if v >> 63 else v for v in m]) for k, m in enumerate(made)], "node long, f0 long, f1 long, f2 long, f3 long")
+    assert {tuple(r) for r in simhash.similar(nodes, 4, 44, 3).collect()} == {(k, k + 1) for k in range(0, 120, 2)}
+
+
 def brute_windows(rows, items, size=10):
     windows = {}
     for i, t in items:
