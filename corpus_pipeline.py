@@ -10,15 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.mixing import mix_sources
+from tidemark.llm.near_copies import near_copies
 from tidemark.llm.phrase_index import decontaminate
 from tidemark.llm.shared import saved
-from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.suffix_dedup import remove_repeats
 from tidemark.llm.toxicity import ToxicityModel, fit_toxicity, score_toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Near duplicates: shingles of five words, four fingerprint lanes in twelve segments.
-#: Texts that share 0.8 of their shingles differ in 39 of 256 bits on average.
+#: They find the groups that are compared first; what counts is that 0.8 of the shingles of both are shared.
 SHINGLE_WORDS, LANES, SEGMENTS, MAX_DISTANCE = 5, 4, 3, 44
 #: Repeated passages: fifty words take more bytes than this.
 PASSAGE_BYTES = 240
@@ -39,7 +39,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id; rows with one id count as one."""
-    groups = near_duplicates(docs, words=SHINGLE_WORDS, lanes=LANES, segments=SEGMENTS, max_distance=MAX_DISTANCE)
+    groups = near_copies(docs, words=SHINGLE_WORDS, lanes=LANES, segments=SEGMENTS, max_distance=MAX_DISTANCE)
     kept = groups.where("doc_id is null and component_id is null or doc_id = component_id")
     return _flagged(docs, kept, "true").dropDuplicates(["doc_id"])
 

@@ -102,6 +102,31 @@ def test_every_pair_of_a_large_dense_bucket_is_compared(spark, monkeypatch):
     assert {tuple(r) for r in simhash.similar(nodes, 4, 44, 3).collect()} == {(k, k + 1) for k in range(0, 120, 2)}
 
 
+def test_near_copies_equal_brute_force(spark, monkeypatch):
+    """Texts at 0.7 to 0.95, some in large groups, some alone, and some that share a repeated run only."""
+    from tidemark.llm import near_copies
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    line, texts = " ".join(word() for _ in range(12)), [None, "", "  ", "one two", "one  TWO", "a b c d e f"]
+    for k in range(40):
+        base = [word() for _ in range(rng.randint(60, 140))]
+        for _ in range(30 if k == 0 else 3):
+            own = list(base)
+            for _ in range(rng.randint(0, 4)):
+                own[rng.randrange(len(own))] = word()
+            texts.append(" ".join(own) + (" " + line if k % 3 == 0 else ""))
+    texts += ["sh " * 300 + " ".join(word() for _ in range(30)) for _ in range(4)]
+    sets = [{" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for t in texts]
+    linked = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    want = groups(range(len(texts)), linked)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = lambda: {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(docs, 5, 4, 3, 44).collect()}
+    assert got() == want
+    monkeypatch.setattr(near_copies, "GROUP_SHINGLES", 600)
+    assert got() == want
+
+
 def brute_windows(rows, items, size=10):
     windows = {}
     for i, t in items:
