@@ -167,6 +167,26 @@ def test_proximity(spark):
     assert {r["doc_id"]: r["near_items"] for r in found} == {1: ["7"], 2: [], 3: ["7"]}
 
 
+def test_proximity_does_not_depend_on_the_block(spark):
+    """All words of an item count, whatever other documents stand in the block."""
+    rng = random.Random(3)
+    names = [f"w{k}" for k in range(14)]
+    items = [(k, " ".join(rng.choices(names, k=rng.choice([3, 6, 9, 30])))) for k in range(25)] + [(90, None), (91, "nowhere at all")]
+    made = [(k, " ".join(rng.choices(names[rng.randint(0, 4) :], k=rng.randint(0, 60)))) for k in range(60)]
+    made += [(100, "w0 " * 700 + " ".join(names) + " x" * 700), (101, None)]
+
+    def near(words, item):
+        want, size = set(item), max(11, len(item))
+        return bool(want) and any(want <= set(words[k : k + size]) for k in range(max(1, len(words) - size + 1)))
+
+    want = {i: sorted(str(k) for k, item in items if near((t or "").split(), (item or "").split())) for i, t in made}
+    assert any(want.values())
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    tests = spark.createDataFrame(items, "item_id long, text string")
+    for dealt in (docs.coalesce(1), docs.repartition(20)):
+        assert {r["doc_id"]: r["near_items"] for r in decontaminate(dealt, tests, near=5).collect()} == want
+
+
 def brute_repeats(rows, size):
     texts = [(t or "").encode() for _, t, *_ in rows]
     seen = Counter(t[k : k + size] for t in texts for k in range(len(t) - size + 1))

@@ -145,6 +145,17 @@ class Postings:
         before = np.where(lo > first, places - self.places[np.maximum(lo - 1, 0)], far)
         return np.minimum(after, before)
 
+    def next(self, terms: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """The first position at or after each one in the list of its term; a very large number where there is none."""
+        lo, hi = self.lists[terms].copy(), self.lists[terms + 1].copy()
+        end = hi.copy()
+        while (lo < hi).any():
+            mid = (lo + hi) >> 1
+            less = self.places[np.minimum(mid, len(self.places) - 1)] < places
+            open_ = lo < hi
+            lo, hi = np.where(open_ & less, mid + 1, lo), np.where(open_ & ~less, mid, hi)
+        return np.where(lo < end, self.places[np.minimum(lo, len(self.places) - 1)], np.int64(1 << 62))
+
     def phrases(self, windows: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, first position) of each exact occurrence; windows: (n, width) term hashes, lengths: words of each."""
         none = np.zeros(0, np.int64)
@@ -181,17 +192,19 @@ class TestSet:
     of: np.ndarray  # item of each window
     windows: np.ndarray
     lengths: np.ndarray
-    rare: list[np.ndarray]  # the distinct terms of each item
+    terms: list[np.ndarray]  # the distinct terms of each item
+    sizes: list[int]  # words of each item
 
 
 def test_set(items: list, texts: list[str], window: int = WINDOW) -> TestSet:
     from numpy.lib.stride_tricks import sliding_window_view
 
-    of, windows, lengths, distinct = [], [], [], []
+    of, windows, lengths, distinct, sizes = [], [], [], [], []
     for i, text in enumerate(texts):
         data = np.frombuffer(text.encode(), np.uint8)
         hashes, _ = words_of(data, np.array([0, len(data)]))
         distinct.append(np.unique(hashes))
+        sizes.append(len(hashes))
         if not len(hashes):
             continue
         if len(hashes) < window:
@@ -203,8 +216,8 @@ def test_set(items: list, texts: list[str], window: int = WINDOW) -> TestSet:
         windows.append(row)
         lengths.append(np.full(len(row), min(window, len(hashes))))
     if not of:
-        return TestSet(items, np.zeros(0, np.int64), np.zeros((0, window), np.uint64), np.zeros(0, np.int64), distinct)
-    return TestSet(items, np.concatenate(of), np.concatenate(windows), np.concatenate(lengths), distinct)
+        return TestSet(items, np.zeros(0, np.int64), np.zeros((0, window), np.uint64), np.zeros(0, np.int64), distinct, sizes)
+    return TestSet(items, np.concatenate(of), np.concatenate(windows), np.concatenate(lengths), distinct, sizes)
 
 
 def covered(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -219,13 +232,40 @@ def covered(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(begin, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
 
 
-def search(index: DataFrame, tests: TestSet, near: int = 0, near_terms: int = 4) -> DataFrame:
+def stretches(block: Postings, terms: np.ndarray, size: int) -> np.ndarray:
+    """The documents of a block in which all `terms` stand within `size` words, ascending."""
+    none = np.zeros(0, np.int64)
+    at, counts = block.find(terms)
+    if not len(terms) or (counts == 0).any():
+        return none
+    at = at[np.argsort(counts, kind="stable")]
+    # a stretch holds the rarest term, with each other one less than `size` words away; this only narrows what is tested
+    _, place = block.gather(at[:1])
+    for other in at[1:]:
+        place = place[block.nearest(np.full(len(place), other), place) < size]
+    if not len(place):
+        return none
+    _, begin = block.gather(at)
+    begin = np.sort(begin)
+    begin = begin[place[np.minimum(np.searchsorted(place, begin), len(place) - 1)] - begin < size]
+    begin = begin[begin <= place[-1]]
+    firsts = block.documents()
+    doc = np.searchsorted(firsts, begin, "right") - 1
+    end = np.minimum(begin + size, firsts[doc] + block.words[doc])
+    for term in at:
+        keep = block.next(np.full(len(begin), term), begin) < end
+        begin, end, doc = begin[keep], end[keep], doc[keep]
+    return np.unique(doc)
+
+
+def search(index: DataFrame, tests: TestSet, near: int = 0, near_terms: int | None = None) -> DataFrame:
     """Matches of one round of test items: (block, place, doc_id, n_words, spans, items, near_items), a row for each document.
 
     spans: (start, length) of hit words, merged, in words of the document;
     items: texts of the ids of items with an exact window, sorted as strings;
-    near_items: with near > 0, items that have their `near_terms` rarest terms
-    (in the block) within `near` words of an occurrence of the rarest one.
+    near_items: with near > 0, items whose distinct terms all stand, in any order,
+    in one stretch of 2 * near + 1 words of the document (or of as many words as
+    the item has, if more); with `near_terms`, so many of them, the first by hash.
     """
     shared = index.sparkSession.sparkContext.broadcast(tests)
     kinds = index_types(index)
@@ -247,17 +287,8 @@ def search(index: DataFrame, tests: TestSet, near: int = 0, near_terms: int = 4)
         for p in pairs.tolist():
             items[p // len(t.items)].append(names[p % len(t.items)])
         nearby: list[list] = [[] for _ in range(n)]
-        for i, terms in enumerate(t.rare if near else []):
-            at, counts = block.find(terms)
-            if not len(terms) or (counts == 0).all():
-                continue
-            rare = at[np.argsort(np.where(counts > 0, counts, np.iinfo(np.int64).max), kind="stable")][:near_terms]
-            if (rare < 0).any() or len(rare) < min(near_terms, len(terms)):
-                continue
-            _, place = block.gather(rare[:1])
-            for other in rare[1:]:
-                place = place[block.nearest(np.full(len(place), other), place) <= near]
-            for d in np.unique(np.searchsorted(firsts, place, "right") - 1).tolist():
+        for i, terms in enumerate(t.terms if near else []):
+            for d in stretches(block, terms[:near_terms], max(2 * near + 1, t.sizes[i])).tolist():
                 nearby[d].append(names[i])
         return pa.RecordBatch.from_arrays(
             [pa.array([name] * n, pa.binary()), pa.array(range(n), pa.int64()), block.ids.column(0).combine_chunks(), pa.array(block.words, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array([sorted(x) for x in nearby], pa.list_(pa.string())), *(c.combine_chunks() for c in block.ids.columns[1:])],
