@@ -126,6 +126,15 @@ def test_toxicity_restores_hidden_words(docs, nothing, labels, rows):
     assert score_toxicity(nothing, fit_toxicity(nothing, labels)).count() == 0
 
 
+def test_toxicity_restores_partly_spaced_and_doubled_words(spark, docs, labels):
+    model = fit_toxicity(docs, labels)
+    hidden = ["stu-pid", "stu.pid", "s.tupid", "st.u.pid", "stu pid", "st up id", "stuupid", "stuppid", "stup\\id", "ss.ttupid", "stup!d", "s+upid", "st*pid", "5tu pid", "stu p1d"]
+    clean = ["stoop", "the plain stipud", "stu", "pid", "st. upper", "stu\npid", "under-stand", "letter", "a mistu pid"]
+    made = spark.createDataFrame([(k, f"he was {w} here") for k, w in enumerate(hidden + clean)], "doc_id long, text string")
+    got = {r["doc_id"]: r["predicted"] for r in score_toxicity(made, model).collect()}
+    assert [w for k, w in enumerate(hidden + clean) if got[k] != (k < len(hidden))] == []
+
+
 def test_quality_trees(docs, nothing, labels):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(2000, 4))

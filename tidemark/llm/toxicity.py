@@ -31,8 +31,6 @@ LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7":
 SEPARATORS = " .-_*~/\\"
 #: Channel costs in natural logs.
 LOOKALIKE_COST, KEEP_COST, DROP_COST, COLLAPSE_COST, MASK_COST = 1.5, 2.5, 0.7, 1.0, 3.0
-#: Partial paths that the search keeps at each position, by language-model history.
-BEAM = 24
 #: Decoded segments that a worker remembers before it forgets all.
 MEMO_LIMIT = 200_000
 #: How often each lexicon word is added to the corpus counts, as a share of all characters.
@@ -54,11 +52,30 @@ _LETTER[97:123] = True
 _LEET = np.zeros(256, bool)
 _LEET[[ord(c) for c in LOOKALIKES]] = True
 _ENDING = np.zeros(256, bool)
-_ENDING[[ord(c) for c in "01345789@$"]] = True
+_ENDING[[ord(c) for c in LOOKALIKES]] = True
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[ord(c) for c in SEPARATORS if c != " "]] = True
 
 
+def _readings() -> list[np.ndarray]:
+    """Tables from a byte to the letter read for it, 1 for what is skipped and 0 for what stands between words.
+
+    They differ in what may be more than one letter or nothing.
+    """
+    out = []
+    for one, loose in (("i", True), ("l", True), ("i", False), ("l", False)):
+        table = np.zeros(256, np.uint8)
+        table[97:123], table[128:] = np.arange(97, 123), np.arange(128, 256)
+        for c, letters in LOOKALIKES.items():
+            table[ord(c)] = ord(one if letters == "il" else letters[0])
+        table[[ord(c) for c in SEPARATORS + ("" if loose else "!|+(<")]] = 1
+        out.append(table)
+    return out
+
+
+_READINGS = _readings()
+
+
 def four_grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Codes of the four-grams of symbols in a block; each text starts after three boundaries."""
     n = len(offsets) - 1
@@ -149,7 +166,7 @@ def decode(segment: str, model: np.ndarray) -> str:
                         h = (h * SYMBOLS + symbol) % SYMBOLS**3
                 if h not in step or s > step[h][0]:
                     step[h] = (s, (back, out) if out else back)
-        paths = step if len(step) <= BEAM else dict(sorted(step.items(), key=lambda x: -x[1][0])[:BEAM])
+        paths = step
     back, out = max(paths.values(), key=lambda x: x[0])[1], []
     while back:
         back, piece = back
@@ -160,8 +177,8 @@ def decode(segment: str, model: np.ndarray) -> str:
 def suspicious(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text index, start, end) of segments that may hide words; `data` in lower case.
 
-    A token is suspicious if a look-alike stands before its last letter (or a
-    digit, @ or $ ends it), if a letter is repeated three times, or if its
+    A token is suspicious if a look-alike stands before its last letter or
+    ends it, if a letter is repeated three times, or if its
     letters stand apart; so is a run of three or more one-letter tokens.
     """
     starts, ends, firsts = word_spans(data, offsets, NOT_SPACE)
@@ -197,6 +214,69 @@ def suspicious(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.concatenate([of[whole], of[heads]]), np.concatenate([starts[whole], starts[heads]]), np.concatenate([ends[whole], ends[tails]])
 
 
+def skeletons(word: bytes) -> set[bytes]:
+    """A word with each run of a letter as one or as several: separators may stand in a run or not."""
+    out = {b""}
+    for c, run in positions(word.decode("latin-1")):
+        out = {x + c.encode("latin-1") * k for x in out for k in range(1, run + 1)}
+    return out
+
+
+def spread(data: np.ndarray, offsets: np.ndarray, words: set[bytes]) -> list[tuple[int, int, int]]:
+    """(text index, start, end) of whole tokens over which a lexicon word is spaced out, doubled or misspelt; `data` in lower case.
+
+    Separators, within a token and between tokens, are skipped and runs collapsed;
+    where a word then begins, its tokens are taken, unless it is written plainly.
+    """
+    sought: dict[int, set[bytes]] = {}
+    pairs = np.zeros(1 << 16, bool)
+    for word in {x for w in words for x in skeletons(w) if len(x) > 1}:
+        sought.setdefault(len(word), set()).add(word)
+        pairs[word[0] << 8 | word[1]] = True
+    raw = data.tobytes()
+    loose = np.zeros(len(data) + 1, bool)
+    loose[offsets] = True
+    found: set[tuple[int, int, int]] = set()
+    for table in _READINGS:
+        read = table[data]
+        at = np.flatnonzero(read != 1)
+        letters = read[at]
+        head = np.ones(len(at), bool)
+        head[1:] = (letters[1:] != letters[:-1]) | (np.diff(at) > 1) | loose[at[1:]]
+        heads = np.flatnonzero(head)
+        line = letters[heads]
+        begin = np.flatnonzero(pairs[line[:-1].astype(np.int64) << 8 | line[1:]])
+        first = at[heads[begin]]
+        begin = begin[loose[first] | ~(_LETTER | (np.arange(256) >= 128))[data[first - 1]]]
+        skeleton = line.tobytes()
+        for k in begin.tolist():
+            for size, group in sought.items():
+                if skeleton[k : k + size] in group:
+                    lo, hi = int(at[heads[k]]), int(at[heads[k + size] - 1 if k + size < len(heads) else -1]) + 1
+                    i = int(np.searchsorted(offsets, lo, "right")) - 1
+                    if hi <= offsets[i + 1] and raw[lo:hi] not in words:
+                        found.add((i, lo, hi))
+    out = []
+    for i, lo, hi in found:
+        while lo > offsets[i] and NOT_SPACE[raw[lo - 1]]:
+            lo -= 1
+        while hi < offsets[i + 1] and NOT_SPACE[raw[hi]]:
+            hi += 1
+        out.append((i, lo, hi))
+    return out
+
+
+def united(segments: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Segments in order, those that overlap as one."""
+    out: list[tuple[int, int, int]] = []
+    for i, lo, hi in sorted(segments):
+        if out and out[-1][0] == i and lo < out[-1][2]:
+            out[-1] = (i, out[-1][1], max(hi, out[-1][2]))
+        else:
+            out.append((i, lo, hi))
+    return out
+
+
 def word_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, word index): each word whole, and its beginnings of STEMS bytes where more follows a whole character."""
     sums = prefix_hash(data)
@@ -254,7 +334,8 @@ class ToxicityModel:
         hit = self.find(hashes)
         plain = of[words[hit >= 0]] * k + hit[hit >= 0]
         raw, more = low.tobytes(), []
-        for text, start, end in zip(*(x.tolist() for x in suspicious(low, offsets)), strict=True):
+        segments = list(zip(*(x.tolist() for x in suspicious(low, offsets)), strict=True))
+        for text, start, end in united(segments + spread(low, offsets, {w.encode() for w in self.words})):
             more += [text * k + w for w in self.hidden(raw[start:end].decode("utf-8", "replace")).tolist()]
         restored = np.array(more, np.int64)
         keys, times = np.unique(np.concatenate([plain, restored]), return_counts=True)
