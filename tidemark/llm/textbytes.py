@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK = 1 << 20
-#: Records in one Arrow batch; with texts of 100 KB each, a batch still fits a worker.
-BATCH_ROWS = 512
+#: Records and bytes in one Arrow batch; a longer text is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -36,9 +36,10 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers = (np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64))
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds the rows that one Arrow batch hands to a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what one Arrow batch hands to a Python worker; all operators set the same, as frames read it when they run."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def whole_text(column: Column | str = "text") -> Column:
