@@ -69,7 +69,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import remove_repeats
 
-    return remove_repeats(_documents(spark, sf_dir), min_bytes=400).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return remove_repeats(_documents(spark, sf_dir), min_bytes=400).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

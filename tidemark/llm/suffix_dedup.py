@@ -12,8 +12,8 @@ covers what every string filed here has in common (its second half at least),
 the second all that strings filed here can reach. Suffixes are range-partitioned
 by these tokens with sampled splitters; each bucket is sorted by multikey
 quicksort (one token at a time, and only inside runs equal so far) and each run
-is compared with its neighbours, also across bucket borders, for which the
-driver sees two rows of a bucket. A suffix that is
+is compared with its neighbours, also across bucket borders, over a table of two
+rows a bucket. A suffix that is
 - equal to another in both tokens: all strings filed here repeat;
 - alone in its first token: none does;
 - equal in the first only: the strings filed here are compared one by one, by
@@ -160,36 +160,22 @@ def sort_bucket(lead: np.ndarray, reach: np.ndarray, row: np.ndarray, n: np.ndar
     return order[keep], code[keep]
 
 
-def across_borders(ends: list[dict]) -> list[tuple[int, bool, bool, bool, bool]]:
-    """For each bucket, from the first and last row of each: (bucket, first lead has many, last has, first run goes on before, last run goes on after)."""
-    heads = {x["bucket"]: x for x in ends if x["code"] & HEAD}
-    tails = {x["bucket"]: x for x in ends if x["code"] & TAIL}
-    names = sorted(heads)
-    many_first = {k: bool(heads[k]["code"] & MANY) for k in names}
-    many_last = {k: bool(tails[k]["code"] & MANY) for k in names}
-    goes_on, came_on = dict.fromkeys(names, False), dict.fromkeys(names, False)
-    joined = []
-    for i, j in zip(names[:-1], names[1:], strict=True):
-        x, y = tails[i], heads[j]
-        if x["lead"] == y["lead"]:
-            joined.append((i, j))
-            if x["reach"] == y["reach"]:
-                goes_on[i] = came_on[j] = True
-            else:
-                many_last[i] = many_first[j] = True
-    for pairs, back in ((joined, False), (joined[::-1], True)):
-        for i, j in pairs:
-            both = many_last[i] or many_first[j]
-            many_last[i] = many_first[j] = both
-            at = i if back else j
-            if heads[at]["lead"] == tails[at]["lead"]:  # the bucket holds one lead only
-                many_first[at] = many_last[at] = many_first[at] or many_last[at]
-    return [(k, many_first[k], many_last[k], came_on[k], goes_on[k]) for k in names]
+def across_borders(marked: DataFrame) -> DataFrame:
+    """Marked rows (bucket, code, lead, reach, row) with the code that they have if buckets had no borders.
+
+    A run that goes over borders is known by its first or last row in each bucket.
+    """
+    bit = lambda b: F.col("code").bitwiseAND(b) != 0
+    ends = saved(marked.where(bit(HEAD | TAIL)), "bucket_ends")
+    leads = saved(ends.groupBy("lead").agg((F.max(bit(MANY)) | (F.min("reach") < F.max("reach"))).alias("over")), "border_leads").where("over")
+    runs = saved(ends.groupBy("lead", "reach").agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi")).where("lo < hi"), "border_runs")
+    outer = marked.where(bit(FIRST | LAST)).join(leads, "lead", "left").join(runs, ["lead", "reach"], "left")
+    code = F.col("code").bitwiseOR(F.when(F.col("over"), MANY).otherwise(0)).bitwiseOR(F.when(F.col("lo").isNotNull() & bit(FIRST_RUN | LAST_RUN), DUP).otherwise(0))
+    return marked.where(~bit(FIRST | LAST)).unionByName(outer.select("bucket", code.alias("code"), "lead", "reach", "row"))
 
 
 def compare_suffixes(suffixes: DataFrame) -> DataFrame:
     """(row, reach, repeats, differs): suffixes all of whose strings repeat, and those to compare string by string."""
-    spark = suffixes.sparkSession
     buckets = max(1, -(-suffixes.count() // BUCKET_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,15 +188,9 @@ def compare_suffixes(suffixes: DataFrame) -> DataFrame:
 
     dealt = suffixes.repartitionByRange(buckets, "lead", "reach", "row") if buckets > 1 else suffixes.coalesce(1)
     marked = saved(dealt.mapInArrow(run, "bucket int, code int, lead long, reach long, row long"), "suffix_runs")
-    ends = [r.asDict() for r in marked.where(F.col("code").bitwiseAND(HEAD | TAIL) != 0).collect()]  # two rows of a bucket
-    borders = spark.createDataFrame(across_borders(ends), "bucket int, many_first boolean, many_last boolean, came_on boolean, goes_on boolean")
     has = lambda bit: F.col("code").bitwiseAND(bit) != 0
-    told = marked.join(F.broadcast(borders), "bucket").select(
-        "row", "reach", has(LEAD).alias("leads"),
-        (has(DUP) | (has(FIRST_RUN) & F.col("came_on")) | (has(LAST_RUN) & F.col("goes_on"))).alias("repeats"),
-        (has(MANY) | (has(FIRST) & F.col("many_first")) | (has(LAST) & F.col("many_last"))).alias("many"),
-    )
-    return told.select("row", "reach", "repeats", (F.col("many") & (~F.col("repeats") | F.col("leads"))).alias("differs")).where("repeats or differs")
+    told = across_borders(marked) if buckets > 1 else marked
+    return told.select("row", "reach", has(DUP).alias("repeats"), (has(MANY) & (~has(DUP) | has(LEAD))).alias("differs")).where("repeats or differs")
 
 
 def _marks(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -281,12 +261,15 @@ def whole_characters(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
 
 
 def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, characters: bool = False, carry: list[str] | None = None, chunk_bytes: int = CHUNK) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256, carried) for each row.
+    """(doc_id, n_bytes, n_removed, n_spans, n_shared, kept, kept_sha256, carried) for each row.
 
     Every byte goes that is covered by a string of min_bytes (32 at least) that
     also begins anywhere else, in the same text or another; strings are judged
     on the input and never span two texts. kept: the bytes that stay. With
-    characters, a character stays whole if any byte of it stays. Null texts
+    characters, a character stays whole if any byte of it stays. n_shared:
+    distinct sampled suffixes of the text of which half of min_bytes stand
+    elsewhere too; it tells of shared passages that are too short to be removed,
+    though not of all of them. Null texts
     count as empty; equal rows are repeats of each other; shorter texts lose
     nothing; an empty table gives none. carried: a struct of the columns named
     in `carry`.
@@ -321,8 +304,9 @@ def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, characters: bool
         # a chunk gets the hashes that occur twice, of those it sent
         return pa.table({"chunk": asked.column("chunk"), "keys": pa.array([pack(np.diff(k[t], prepend=np.uint64(0))) for k, t in zip(keys, np.split(twice, sizes), strict=True)], pa.binary())})
 
-    compared = marks.where("differs").select("row", "chunk").distinct()
-    asking = dealt.join(compared.hint("merge"), ["row", "chunk"], "left_semi").select("row", "text", "chunk")
+    # written first, so that it is broadcast if it is small, by its size, and texts are shuffled only if it is not
+    compared = saved(marks.where("differs").select("row").distinct(), "compared")
+    asking = dealt.join(compared, "row", "left_semi").select("row", "text", "chunk")
     asked = asking.groupBy("chunk").cogroup(marks.where("differs").groupBy("chunk")).applyInArrow(ask, "shard int, chunk int, keys binary, counts binary")
     answers = saved(asked.groupBy("shard").applyInArrow(answer, "chunk int, keys binary"), "strings")
     # one table holds what a chunk is told: marks of its suffixes, and hashes of strings that repeat
@@ -334,6 +318,7 @@ def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, characters: bool
         marks = _marks(told.filter(pa.compute.is_null(told.column("keys"))))
         names = docs.column("row").to_numpy()
         size, removed, spans, kept, digest = [], [], [], [], []
+        shared = [len(marks[n][0]) + int((~_is_in(marks[n][1], marks[n][0])).sum()) if n in marks else 0 for n in names.tolist()]
         for lo, hi, data, offsets in _blocks_of(docs):
             p = Places(data, offsets, min_bytes)
             same, other = _chosen(p, names[lo:hi], marks)
@@ -355,8 +340,8 @@ def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, characters: bool
                 kept.append(left)
                 digest.append(hashlib.sha256(left).hexdigest())
         return pa.table(
-            {"doc_id": docs.column("doc_id"), "n_bytes": pa.array(size, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept": pa.array(kept, pa.binary()), "kept_sha256": pa.array(digest, pa.string()), "carried": docs.column("carried")}
+            {"doc_id": docs.column("doc_id"), "n_bytes": pa.array(size, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "n_shared": pa.array(shared, pa.int64()), "kept": pa.array(kept, pa.binary()), "kept_sha256": pa.array(digest, pa.string()), "carried": docs.column("carried")}
         )
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(finish, f"doc_id {kinds['doc_id']}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string, carried {kinds['carried']}")
+    return dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(finish, f"doc_id {kinds['doc_id']}, n_bytes long, n_removed long, n_spans long, n_shared long, kept binary, kept_sha256 string, carried {kinds['carried']}")
