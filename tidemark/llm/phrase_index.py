@@ -29,8 +29,8 @@ WINDOW = 10
 INDEX_BLOCK = 8 << 20
 #: Test items that are searched together; a larger test set is searched in so many rounds.
 ITEMS_AT_ONCE = 20_000
-#: Bytes of test text that one round may broadcast.
-TEXT_AT_ONCE = 64 << 20
+#: Bytes of test text in one round; its windows take about fifteen times as much.
+TEXT_AT_ONCE = 4 << 20
 #: Positions between the words of two documents, so that no phrase or neighbourhood spans them.
 GAP = 1 << 10
 
@@ -195,6 +195,15 @@ class TestSet:
     terms: list[np.ndarray]  # the distinct terms of each item
     sizes: list[int]  # words of each item
 
+    def all_in(self, block: Postings, most: int | None) -> list[int]:
+        """The items all of whose terms (the first `most`) stand somewhere in a block."""
+        used = [(i, x[:most]) for i, x in enumerate(self.terms) if len(x)]
+        if not used:
+            return []
+        found, _ = block.find(np.concatenate([x for _, x in used]))
+        heads = np.cumsum([0, *(len(x) for _, x in used[:-1])])
+        return [used[k][0] for k in np.flatnonzero(np.logical_and.reduceat(found >= 0, heads))]
+
 
 def test_set(items: list, texts: list[str], window: int = WINDOW) -> TestSet:
     from numpy.lib.stride_tricks import sliding_window_view
@@ -258,7 +267,7 @@ def stretches(block: Postings, terms: np.ndarray, size: int) -> np.ndarray:
     return np.unique(doc)
 
 
-def search(index: DataFrame, tests: TestSet, near: int = 0, near_terms: int | None = None) -> DataFrame:
+def search(index: DataFrame, tests: TestSet, near: int = 0, near_terms: int | None = None, types: list[str] | None = None) -> DataFrame:
     """Matches of one round of test items: (block, place, doc_id, n_words, spans, items, near_items), a row for each document.
 
     spans: (start, length) of hit words, merged, in words of the document;
@@ -266,9 +275,12 @@ def search(index: DataFrame, tests: TestSet, near: int = 0, near_terms: int | No
     near_items: with near > 0, items whose distinct terms all stand, in any order,
     in one stretch of 2 * near + 1 words of the document (or of as many words as
     the item has, if more); with `near_terms`, so many of them, the first by hash.
+    types: SQL types of the ids and of what is carried; without them they are read off the index, which then must not be empty.
     """
+    if 2 * near + 1 > GAP:
+        raise ValueError(f"near may be {(GAP - 1) // 2} at most, so that no stretch spans two documents")
     shared = index.sparkSession.sparkContext.broadcast(tests)
-    kinds = index_types(index)
+    kinds = types or index_types(index)
     names = [str(x) for x in tests.items]
 
     def one(name: bytes, block: Postings, t: TestSet) -> pa.RecordBatch:
@@ -287,8 +299,8 @@ def search(index: DataFrame, tests: TestSet, near: int = 0, near_terms: int | No
         for p in pairs.tolist():
             items[p // len(t.items)].append(names[p % len(t.items)])
         nearby: list[list] = [[] for _ in range(n)]
-        for i, terms in enumerate(t.terms if near else []):
-            for d in stretches(block, terms[:near_terms], max(2 * near + 1, t.sizes[i])).tolist():
+        for i in t.all_in(block, near_terms) if near else ():
+            for d in stretches(block, t.terms[i][:near_terms], max(2 * near + 1, t.sizes[i])).tolist():
                 nearby[d].append(names[i])
         return pa.RecordBatch.from_arrays(
             [pa.array([name] * n, pa.binary()), pa.array(range(n), pa.int64()), block.ids.column(0).combine_chunks(), pa.array(block.words, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array([sorted(x) for x in nearby], pa.list_(pa.string())), *(c.combine_chunks() for c in block.ids.columns[1:])],
@@ -300,7 +312,7 @@ def search(index: DataFrame, tests: TestSet, near: int = 0, near_terms: int | No
             for row in batch.to_pylist():
                 yield one(row["block"], Postings.of(row), shared.value)
 
-    small_batches(index.sparkSession, 1)
+    small_batches(index.sparkSession)
     return index.mapInArrow(run, f"block binary, place long, doc_id {kinds[0]}, n_words long, spans array<struct<start:long,length:long>>, items array<string>, near_items array<string>" + "".join(f", carried {k}" for k in kinds[1:]))
 
 
@@ -308,7 +320,7 @@ def index_types(index: DataFrame) -> list[str]:
     """The SQL types of the ids in an index and of what is carried with them."""
     row = index.select("ids").first()
     if row is None:
-        return ["long"]
+        raise ValueError("an empty index does not tell its types")
     from pyspark.sql.pandas.types import from_arrow_type
 
     with pa.ipc.open_stream(bytes(row["ids"])) as stream:
@@ -320,32 +332,32 @@ def decontaminate(docs: DataFrame, tests: DataFrame, window: int = WINDOW, near:
 
     Test items with null text have no words and match nothing; an item id that
     repeats counts once per text. Test sets beyond ITEMS_AT_ONCE items or
-    TEXT_AT_ONCE bytes are searched in rounds over the stored index, so what is
-    broadcast stays bounded. Null texts have no words; an empty table of
+    TEXT_AT_ONCE bytes are read and searched in rounds over the stored index, each
+    written before the next, so what is held and broadcast at once stays bounded
+    (an item longer than that is a round of its own). Null texts have no words; an empty table of
     documents gives none, an empty test set no hits.
     """
     index = saved(build_index(docs, carry=carry), "phrase_index")
-    found: list[DataFrame] = []
+    carried = docs.select(F.col("doc_id"), *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] if carry else []))
+    types = [f.dataType.simpleString() for f in carried.schema]
+    rounds: list[DataFrame] = []
     items: list = []
     texts: list[str] = []
     size = 0
     for row in tests.select("item_id", whole_text().alias("text")).orderBy("item_id", "text").toLocalIterator():
+        if items and (len(items) >= ITEMS_AT_ONCE or size + len(row["text"].encode()) > TEXT_AT_ONCE):
+            rounds.append(saved(search(index, test_set(items, texts, window), near, types=types), "phrase_round"))
+            items, texts, size = [], [], 0
         items.append(row["item_id"])
         texts.append(row["text"])
-        size += len(row["text"])
-        if len(items) >= ITEMS_AT_ONCE or size >= TEXT_AT_ONCE:
-            found.append(search(index, test_set(items, texts, window), near))
-            items, texts, size = [], [], 0
-    if items or not found:
-        found.append(search(index, test_set(items, texts, window), near))
-    if len(found) == 1:
-        return found[0].drop("block", "place")
-    rounds = found[0]
-    for more in found[1:]:
-        rounds = rounds.unionByName(more)
+        size += len(row["text"].encode())
+    last = search(index, test_set(items, texts, window), near, types=types)
+    if not rounds:
+        return last.drop("block", "place")
+    for more in rounds:
+        last = last.unionByName(more)
     return (
-        saved(rounds, "phrase_rounds")
-        .groupBy("block", "place")
+        last.groupBy("block", "place")
         .agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *([F.first("carried").alias("carried")] if carry else []), merged_spans(F.flatten(F.collect_list("spans"))).alias("spans"), *(F.array_sort(F.flatten(F.collect_list(c))).alias(c) for c in ("items", "near_items")))
         .drop("block", "place")
     )
