@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.mixing import mix_sources
-from tidemark.llm.near_copies import near_copies
+from tidemark.llm.near_copies import first_of_each
 from tidemark.llm.phrase_index import decontaminate
 from tidemark.llm.shared import saved
 from tidemark.llm.suffix_dedup import remove_repeats
@@ -25,27 +25,23 @@ PASSAGE_BYTES = 240
 WINDOW = 10
 
 
-def _flagged(docs: DataFrame, verdicts: DataFrame, keep: str) -> DataFrame:
-    """The documents whose id has a verdict that says `keep`; a null id matches a null id."""
-    ids = verdicts.where(keep).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(ids.hint("merge"), docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi").select(*COLUMNS)
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not call toxic."""
+    """Documents that the classifier does not call toxic; null and empty texts stay, repeated rows are judged each."""
     model: ToxicityModel = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score_toxicity(docs, model, carry=COLUMNS).where("predicted = 0").select("carried.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id; rows with one id count as one."""
-    groups = near_copies(docs, words=SHINGLE_WORDS, lanes=LANES, segments=SEGMENTS, max_distance=MAX_DISTANCE)
-    kept = groups.where("doc_id is null and component_id is null or doc_id = component_id")
-    return _flagged(docs, kept, "true").dropDuplicates(["doc_id"])
+    """One document of each group of near duplicates: the one with the smallest id, null ids last.
+
+    Different texts under one id, or under none, are different documents. Texts
+    without words (null, empty) are one group. Of equal rows one stays.
+    """
+    return first_of_each(docs, words=SHINGLE_WORDS, lanes=LANES, segments=SEGMENTS, max_distance=MAX_DISTANCE, carry=COLUMNS)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that stand in more than one place; texts of nothing else go."""
+    """Texts without the passages that stand in more than one place; texts of nothing else go, null and empty texts stay."""
     cut = remove_repeats(docs, min_bytes=PASSAGE_BYTES, characters=True, carry=COLUMNS)
     text = F.when(F.col("n_removed") == 0, F.col("carried.text")).otherwise(F.col("kept").cast("string"))
     kept = cut.where("n_removed = 0 or trim(cast(kept as string)) <> ''")
@@ -53,7 +49,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
+    """Documents without any window of a benchmark item; null and empty texts have none and stay."""
     found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=WINDOW, carry=COLUMNS)
     return found.where(F.size("spans") == 0).select("carried.*")
 

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -52,9 +52,16 @@ def parity(members: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
-def _prints(docs: DataFrame, words: int, lanes: int) -> DataFrame:
-    """(doc_id, node, n, p0..p3, f0, ..., text): hash, size and parity of the shingle set, and fingerprint lanes."""
-    rows = docs.select("doc_id", whole_text().cast("binary").alias("text"))
+def row_digest() -> Column:
+    """A digest of a row's id and text; a null id differs from an empty one, a null text counts as empty."""
+    name = F.col("doc_id").cast("string")
+    return F.md5(F.concat(F.coalesce(F.concat(F.length(name).cast("string"), F.lit(":"), name), F.lit("null:")), whole_text()).cast("binary"))
+
+
+def _prints(docs: DataFrame, words: int, lanes: int, carry: list[str]) -> DataFrame:
+    """(doc_id, node, n, p0..p3, f0, ..., text, row, carried): hash, size and parity of the shingle set, and fingerprint lanes."""
+    carried = F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")
+    rows = docs.select("doc_id", whole_text().cast("binary").alias("text"), row_digest().alias("row"), carried)
     names = ["node", "n", *(f"p{k}" for k in range(4)), *(f"f{k}" for k in range(lanes))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,9 +73,10 @@ def _prints(docs: DataFrame, words: int, lanes: int) -> DataFrame:
                 row[0] = np.uint64(xxhash.xxh64_intdigest(own.tobytes())).view(np.int64)
                 row[1], row[2:6] = len(own), parity(own)
                 row[6:] = np.array([majority(mix(h + np.uint64(k)) if k else h) for k in range(lanes)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in out.T), batch.column(1)], ["doc_id", *names, "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in out.T), *batch.columns[1:]], ["doc_id", *names, "text", "row", "carried"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in names) + ", text binary")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.mapInArrow(run, f"doc_id {kinds['doc_id']}, " + ", ".join(f"{n} long" for n in names) + f", text binary, row string, carried {kinds['carried']}")
 
 
 def _texts(prints: DataFrame, of: DataFrame) -> DataFrame:
@@ -186,23 +194,45 @@ def linked_between(prints: DataFrame, nodes: DataFrame, groups: DataFrame, words
     return sides.select("a", "b", "s", "t").mapInArrow(verified, "a long, b long")
 
 
-def near_copies(docs: DataFrame, words: int, lanes: int, segments: int, max_distance: int) -> DataFrame:
-    """(doc_id, node, component_id) for each row; component_id is the smallest doc_id reachable over near copies.
-
-    node is a hash of the row's shingle set. Texts without words have the empty
-    set and are one node; null texts count as empty. Null ids are never a
-    component's least; a component of nothing else has a null one.
-    """
+def _components(docs: DataFrame, words: int, lanes: int, segments: int, max_distance: int, carry: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(prints, (node, component_id, best) of each node): best is the row digest of the component's first row."""
     small_batches(docs.sparkSession)
     f, p = [f"f{k}" for k in range(lanes)], [f"p{k}" for k in range(4)]
-    prints = saved(_prints(docs, words, lanes), "prints")
-    each = prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("n", *p, *f)).alias("x"))
-    nodes = saved(each.select("node", "least", "x.*"), "nodes")
+    prints = saved(_prints(docs, words, lanes, carry), "prints")
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+    each = prints.groupBy("node").agg(F.min(first).alias("first"), F.min(F.struct("n", *p, *f)).alias("x"))
+    nodes = saved(each.select("node", "first", "x.*"), "nodes")
     groups = saved(connected_components(similar(nodes.select("node", *f), lanes, max_distance, segments)), "groups")
     stars = saved(linked_in_groups(prints, nodes.select("node", "n"), groups, words), "stars")
     joined = saved(connected_components(stars), "joined")
     links = linked_between(prints, nodes, joined, words)
     found = connected_components(stars.unionByName(links))
-    named = saved(nodes.select("node", "least").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "components")
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return prints.select("doc_id", "node").join(named.join(least, "component").select("node", "component_id"), "node").select("doc_id", "node", "component_id")
+    named = saved(nodes.select("node", "first").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "components")
+    least = named.groupBy("component").agg(F.min("first").alias("first"))
+    return prints, named.select("node", "component").join(least, "component").select("node", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("best"))
+
+
+def near_copies(docs: DataFrame, words: int, lanes: int, segments: int, max_distance: int) -> DataFrame:
+    """(doc_id, node, component_id) for each row; component_id is the smallest doc_id reachable over near copies.
+
+    node is a hash of the row's shingle set. Texts without words have the empty
+    set and are one node; null texts count as empty. Null ids are never a
+    component's least; a component of nothing else has a null one. Repeated rows
+    are returned each; an empty table gives none.
+    """
+    prints, named = _components(docs, words, lanes, segments, max_distance, ["doc_id"])
+    return prints.select("doc_id", "node").join(named, "node").select("doc_id", "node", "component_id")
+
+
+def first_of_each(docs: DataFrame, words: int, lanes: int, segments: int, max_distance: int, carry: list[str]) -> DataFrame:
+    """The columns in `carry` of one row of each component of near copies.
+
+    The row with the smallest id stays, null ids last; of several texts under
+    that id (or under none) the one with the least digest; of rows that have
+    both in common the least by the columns carried. So rows of different
+    components all stay, whatever ids they have.
+    """
+    prints, named = _components(docs, words, lanes, segments, max_distance, carry)
+    # rows with one id and text are one before they are shuffled, so that no repeated row is hot
+    rows = prints.groupBy("row").agg(F.min("carried").alias("carried"))
+    return rows.join(named.select(F.col("best").alias("row")).distinct(), "row", "left_semi").select("carried.*")
