@@ -1,17 +1,18 @@
 """Language-model scores from a weighted backoff automaton over words.
 
-Counts of words and word pairs over all training texts make a smoothed bigram
-model. Seen as an automaton, each known word is a state; a seen pair is an arc
-with the pair's smoothed probability; where no arc matches, a failure arc leads
-to the root with the state's backoff weight, and the root has an arc for each
-word and one for all unknown words:
+Counts of n-grams over all training texts make a smoothed model of a given
+order. Each n-gram seen is an arc into itself: from the state of its words but
+the last, under that last word, with its smoothed probability. Each n-gram
+shorter than the order is a state as well, with a failure arc that carries its
+backoff weight to the n-gram without the first word, and in the end to the root,
+which has an arc for each word and one for all unknown words:
 
     P(w | root) = (1 - e) c(w) / N        P(unknown | root) = e
-    P(w | u)    = (c(u w) + m P(w | root)) / (c(u) + m)
+    P(w | h)    = (c(h w) + m P(w | h without its first word)) / (c(h) + m)
 
 e is the share of words seen once (Good and Turing's estimate of what has not
 been seen), m the strength of the backoff. A text is one left-to-right pass that
-carries the state and adds up log-probabilities.
+carries the state and adds up the logs of the arcs taken.
 
 The model is never gathered in one place. Texts are dealt into chunks; a chunk
 sends its distinct n-grams, sorted by hash and packed by hash range (a shard),
@@ -37,8 +38,10 @@ from .textbytes import LOWER, NOT_SPACE, blocks, id_crc, mix, prefix_hash, small
 
 #: Bytes of text in one chunk, about.
 CHUNK = 16 << 20
-#: Backoff strength m.
-STRENGTH = 300.0
+#: Words of the longest n-grams, and backoff strength m.
+ORDER, STRENGTH = 2, 300.0
+#: States that are no n-gram.
+ROOT = -1
 #: n-grams are told apart by this many bits of their hash.
 KEY_BITS = 56
 #: Hash of the end of a text, and of the state before its first word.
@@ -74,12 +77,22 @@ def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return out, at
 
 
-def ngrams(tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key of each token alone, key of each token after the state before it)."""
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    before[at[:-1]] = START
-    return mix(tokens) >> _SHIFT, mix(mix(before) * np.uint64(0x9FB21C651E98DF25) + tokens) >> _SHIFT
+def ngrams(tokens: np.ndarray, at: np.ndarray, order: int) -> list[np.ndarray]:
+    """For each length, the key of the n-gram that ends in each token (0 where a text is too short for it).
+
+    Texts begin with START, which counts as a word of longer n-grams only. The
+    lowest two bits of a key tell the length.
+    """
+    whole, out = tokens, [(mix(tokens) >> _SHIFT) << np.uint64(2)]
+    reach = np.arange(len(tokens)) - np.repeat(at[:-1], np.diff(at)) + 2
+    for length in range(2, order + 1):
+        before = np.empty_like(whole)
+        before[1:] = whole[:-1]
+        if length == 2:
+            before[at[:-1]] = START
+        whole = mix(mix(before) * np.uint64(0x9FB21C651E98DF25) + tokens)
+        out.append(np.where(reach >= length, (whole >> _SHIFT) << np.uint64(2) | np.uint64(length - 1), np.uint64(0)))
+    return out
 
 
 def texts_of(chunk: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -93,18 +106,17 @@ def texts_of(chunk: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
         row += len(part)
 
 
-def _requests(chunk: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys of words (even) and pairs (odd) of a chunk, and their counts in training texts."""
-    keys, used = [], []
+def _requests(chunk: pa.Table, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys of the n-grams of a chunk, and their counts in training texts."""
+    keys = []
     for train, tokens, at in texts_of(chunk):
-        one, two = ngrams(tokens, at)
         in_train = np.repeat(train, np.diff(at))
-        keys += [one << np.uint64(1), two << np.uint64(1) | np.uint64(1)]
-        used += [in_train, in_train]
+        for k in ngrams(tokens, at, order):
+            # the lowest bit carries the training flag through one sort
+            keys.append((k << np.uint64(1) | in_train)[k > 0])
     if not keys:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    # the lowest bit carries the training flag through one sort
-    flat = np.concatenate(keys) << np.uint64(1) | np.concatenate(used)
+    flat = np.concatenate(keys)
     flat.sort()
     keys_only = flat >> np.uint64(1)
     new = np.flatnonzero(np.concatenate([[True], keys_only[1:] != keys_only[:-1]]))
@@ -125,48 +137,88 @@ class Totals:
         return min(0.5, max(self.once, 1) / (self.tokens + 2)) if self.tokens else 1.0
 
 
-@dataclass(frozen=True)
 class Automaton:
-    """The part of the model that some texts need: sorted keys of words and pairs with their counts."""
+    """The part of the model that some texts need, as tables with an entry for each n-gram.
 
-    keys: np.ndarray
-    counts: np.ndarray
-    totals: Totals
-    strength: float
+    keys: sorted; counts: in training texts; weight: log10 of the arc into the
+    n-gram; failure: the state that its failure arc leads to. The state START
+    comes after all entries. Arcs and failure arcs are put in for a block of
+    texts before it is traversed.
+    """
 
-    def count(self, keys: np.ndarray) -> np.ndarray:
-        return self.counts[np.searchsorted(self.keys, keys)]
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, totals: Totals, strength: float, order: int):
+        self.keys, self.totals, self.strength, self.order = keys, totals, strength, order
+        self.counts = np.append(counts, totals.texts)
+        self.start = len(keys)
+        self.weight = np.zeros(len(keys))
+        self.failure = np.full(len(keys) + 1, ROOT, np.int32)
+
+    def entries(self, tokens: np.ndarray, at: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """For each length: the entry of the n-gram that ends in each token, and of the one before it; ROOT for unseen ones."""
+        here, before = [], []
+        for length, keys in enumerate(ngrams(tokens, at, self.order)):
+            found = np.full(len(keys), ROOT, np.int64)
+            real = np.flatnonzero(keys)
+            found[real] = np.searchsorted(self.keys, keys[real])
+            found[real[self.counts[found[real]] == 0]] = ROOT
+            moved = np.empty_like(found)
+            moved[1:] = found[:-1]
+            moved[at[:-1]] = ROOT if length else self.start
+            here.append(found)
+            before.append(moved)
+        return here, before
+
+    def connect(self, here: list[np.ndarray], before: list[np.ndarray]) -> None:
+        """Puts in the arcs and failure arcs of the n-grams of a block."""
+        t, seen = self.totals, here[0][here[0] >= 0]
+        self.weight[seen] = np.log10((1 - t.unknown) * self.counts[seen] / max(1, t.tokens))
+        for length in range(1, self.order):
+            seen = np.flatnonzero(here[length] >= 0)
+            arc, lower, state = here[length][seen], here[length - 1][seen], before[length - 1][seen]
+            self.weight[arc] = np.log10((self.counts[arc] + self.strength * 10 ** self.weight[lower]) / (self.counts[state] + self.strength))
+            self.failure[arc] = lower
 
     def traverse(self, tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(log10 weight of the arcs taken at each token, training count of the token).
 
-        The state after a token is that token, so the states of a pass are the
-        tokens moved by one; every text starts in START.
+        The state before a token is the longest seen n-gram, shorter than the
+        order, that ends there; without an arc for the token its failure arcs
+        are taken until there is one.
         """
-        one, two = ngrams(tokens, at)
-        c = self.count(one << np.uint64(1))
-        pairs = self.count(two << np.uint64(1) | np.uint64(1))
-        state = np.empty(len(c), np.float64)
-        state[1:] = c[:-1]
-        state[at[:-1]] = self.totals.texts
-        t = self.totals
-        root = np.where(c > 0, (1 - t.unknown) * c / max(1, t.tokens), t.unknown)
-        arc = np.log10((pairs + self.strength * root) / (state + self.strength))
-        failure = np.log10(self.strength / (state + self.strength)) + np.log10(root)
-        return np.where(pairs > 0, arc, failure), c
-
-
-def score_texts(docs: DataFrame, train: Column | None = None, strength: float = STRENGTH, chunk_bytes: int = CHUNK) -> DataFrame:
+        here, before = self.entries(tokens, at)
+        self.connect(here, before)
+        state, depth = np.full(len(tokens), ROOT, np.int64), np.zeros(len(tokens), np.int64)
+        for length, known in enumerate(before[: self.order - 1], 1):
+            state = np.where(known >= 0, known, state)
+            depth[known >= 0] = length
+        total, waiting = np.zeros(len(tokens)), np.arange(len(tokens))
+        for length in range(self.order - 1, -1, -1):
+            at_length = depth[waiting] == length
+            now, arc = waiting[at_length], here[length][waiting[at_length]]
+            total[now[arc >= 0]] += self.weight[arc[arc >= 0]]
+            failed = now[arc < 0]
+            if length:
+                total[failed] += np.log10(self.strength / (self.counts[state[failed]] + self.strength))
+                state[failed] = self.failure[state[failed]]
+                depth[failed] -= 1
+                waiting = np.concatenate([waiting[~at_length], failed])
+            else:
+                total[failed] += np.log10(self.totals.unknown)
+        return total, np.where(here[0] >= 0, self.counts[here[0]], 0)
+
+
+def score_texts(docs: DataFrame, train: Column | None = None, order: int = ORDER, strength: float = STRENGTH, chunk_bytes: int = CHUNK) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row.
 
     train: a boolean column of `docs`, by default crc32(doc_id as text) mod 7
     other than 2; the model counts all texts where it holds. base_score is the
-    add-one unigram score under the same counts. Null and empty texts have one
+    add-one unigram score under the same counts. order: 4 at most. Null and empty texts have one
     token (the end); repeated rows count and are scored each; without training
     texts every token is unknown; an empty table gives none.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    if not 1 <= order <= 4:
+        raise ValueError("order from 1 to 4")
+    small_batches(docs.sparkSession)
     train = (id_crc() % 7 != 2) if train is None else train
     rows = docs.select("doc_id", train.alias("train"), whole_text().alias("text"))
     chunks = max(1, -(-total_bytes(docs) // chunk_bytes))
@@ -175,8 +227,8 @@ def score_texts(docs: DataFrame, train: Column | None = None, strength: float =
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def ask(chunk: pa.Table) -> pa.Table:
-        keys, counts = _requests(chunk)
-        edges = [(k << (KEY_BITS + 1)) // shards for k in range(1, shards)]
+        keys, counts = _requests(chunk, order)
+        edges = [(k << (KEY_BITS + 2)) // shards for k in range(1, shards)]
         cuts = [0, *np.searchsorted(keys, np.array(edges, np.uint64)).tolist(), len(keys)]
         out = [(k, a, b) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
         name = chunk.column("chunk")[0].as_py()
@@ -195,7 +247,7 @@ def score_texts(docs: DataFrame, train: Column | None = None, strength: float =
         sums = np.add.reduceat(counts[order], new)
         total = np.empty(len(flat), np.int64)
         total[order] = np.repeat(sums, np.diff(np.append(new, len(flat))))
-        words = sums[(ordered[new] & np.uint64(1)) == 0]
+        words = sums[(ordered[new] & np.uint64(3)) == 0]
         n = len(names)
         facts = {"tokens": int(words.sum()), "distinct": int((words > 0).sum()), "once": int((words == 1).sum())}
         return pa.table(
@@ -211,9 +263,9 @@ def score_texts(docs: DataFrame, train: Column | None = None, strength: float =
     base_low = np.log10(totals.tokens + totals.distinct + 1)
 
     def score(chunk: pa.Table, replies: pa.Table) -> pa.Table:
-        order = np.argsort(replies.column("shard").to_numpy())
+        by_shard = np.argsort(replies.column("shard").to_numpy())
         keys, counts = replies.column("keys").to_pylist(), replies.column("totals").to_pylist()
-        model = Automaton(np.concatenate([np.cumsum(unpack(keys[i]), dtype=np.uint64) for i in order]), np.concatenate([unpack(counts[i]).astype(np.int64) for i in order]), totals, strength) if len(order) else Automaton(np.zeros(0, np.uint64), np.zeros(0, np.int64), totals, strength)
+        model = Automaton(np.concatenate([np.cumsum(unpack(keys[i]), dtype=np.uint64) for i in by_shard]), np.concatenate([unpack(counts[i]).astype(np.int64) for i in by_shard]), totals, strength, order) if len(by_shard) else Automaton(np.zeros(0, np.uint64), np.zeros(0, np.int64), totals, strength, order)
         n_tokens, known, base, full = [], [], [], []
         for _, tokens, at in texts_of(chunk):
             weight, c = model.traverse(tokens, at)
