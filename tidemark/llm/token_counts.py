@@ -7,13 +7,13 @@ token of the encoding of the first i - len(t) bytes, and
 
     count[i] = count[i - len(t)] + 1
 
-fills a table of counts for all prefixes in one left-to-right pass. The table
-of a piece answers truncation and budget questions by lookup.
+fills a table of counts and last tokens for all prefixes in one left-to-right
+pass. Truncation and budget questions are answered from the table: counts say
+where a budget ends, last tokens lead back from any prefix to its cuts.
 """
 
 from __future__ import annotations
 
-import bisect
 import json
 import os
 from collections.abc import Iterator
@@ -61,8 +61,10 @@ class PrefixTables:
         self.ids = {bytes(back[c] for c in token): i for token, i in model["vocab"].items() if all(c in back for c in token)}
         self.longest = max(map(len, self.ids))
         self.bytes_of = {i: b for b, i in self.ids.items()}
-        self.pieces = regex.compile(PIECES).findall
-        self.special = regex.compile("|".join(regex.escape(x["content"]) for x in sorted(added, key=lambda x: -len(x["content"])))) if added else None
+        self.piece_pattern = regex.compile(PIECES)
+        self.pieces = self.piece_pattern.findall
+        self.added = [x["content"] for x in sorted(added, key=lambda x: -len(x["content"])) if x["content"]]
+        self.special = regex.compile("|".join(map(regex.escape, self.added))) if self.added else None
         self.fits: dict[int, bool] = {}
         self.totals: dict[str, int] = {}
 
@@ -79,8 +81,8 @@ class PrefixTables:
             self.fits[key] = known
         return known
 
-    def table(self, piece: bytes) -> list[int]:
-        """counts[i]: tokens of the first i bytes of a piece."""
+    def table(self, piece: bytes) -> tuple[list[int], list[int]]:
+        """(counts, last): the tokens of the first i bytes of a piece, and the last of them (-1 for none)."""
         n, ids, longest, fits = len(piece), self.ids, self.longest, self.fits
         counts, last = [0] * (n + 1), [-1] * (n + 1)
         for end in range(1, n + 1):
@@ -94,75 +96,68 @@ class PrefixTables:
                         break
             else:
                 raise AssertionError(f"no encoding of {piece[:end]!r}")
-        return counts
-
-    def piece_total(self, piece: str) -> int:
-        total = self.table(piece.encode())[-1]
-        if len(piece) <= KEEP_BYTES:
-            if len(self.totals) >= TABLE_LIMIT:
-                self.totals.clear()
-            self.totals[piece] = total
+        return counts, last
+
+    def cuts(self, piece: bytes) -> list[int]:
+        """Where the tokens of a piece end, from 0 to its length: last tokens are followed back from the end."""
+        _, last = self.table(piece)
+        back = [len(piece)]
+        while back[-1]:
+            back.append(back[-1] - len(self.bytes_of[last[back[-1]]]))
+        return back[::-1]
+
+    def count(self, piece: str) -> int:
+        """Tokens of a piece; those of short pieces are remembered."""
+        total = self.totals.get(piece)
+        if total is None:
+            total = self.table(piece.encode())[0][-1]
+            if len(piece) <= KEEP_BYTES:
+                if len(self.totals) >= TABLE_LIMIT:
+                    self.totals.clear()
+                self.totals[piece] = total
         return total
 
     def total(self, text: str) -> int:
         """Tokens of a whole text; strings of special tokens count as one token each."""
-        parts = self.special.split(text) if self.special and "<" in text else (text,)
+        parts = self.special.split(text) if any(x in text for x in self.added) else (text,)
         n, known = len(parts) - 1, self.totals.get
         for part in parts:
             for piece in self.pieces(part):
                 count = known(piece)
-                n += self.piece_total(piece) if count is None else count
+                n += self.count(piece) if count is None else count
         return n
 
-    def prefixes(self, text: str) -> tuple[list[int], list[int]]:
-        """(ends, counts): after each piece, its end in bytes and the tokens so far; special tokens are pieces."""
-        ends, counts, at, n = [0], [0], 0, 0
-
-        def put(piece: str, count: int) -> None:
-            nonlocal at, n
-            at, n = at + len(piece.encode()), n + count
-            ends.append(at)
-            counts.append(n)
-
-        def plain(part: str) -> None:
-            for piece in self.pieces(part):
-                put(piece, self.table(piece.encode())[-1])
-
+    def steps(self, text: str) -> Iterator[tuple[str, int]]:
+        """(piece, its tokens) from left to right; special tokens are pieces of one token."""
         here = 0
         for found in self.special.finditer(text) if self.special else ():
-            plain(text[here : found.start()])
-            put(found.group(), 1)
+            for x in self.scan(text, here, found.start()):
+                yield x.group(), self.count(x.group())
+            yield found.group(), 1
             here = found.end()
-        plain(text[here:])
+        for x in self.scan(text, here, len(text)):
+            yield x.group(), self.count(x.group())
+
+    def scan(self, text: str, start: int, end: int) -> Iterator:
+        """The pieces of a stretch between special tokens, which is cut as if it stood alone."""
+        return self.piece_pattern.finditer(text if (start, end) == (0, len(text)) else text[start:end])
+
+    def prefixes(self, text: str) -> tuple[list[int], list[int]]:
+        """(ends, counts): after each piece, its end in bytes and the tokens so far."""
+        ends, counts = [0], [0]
+        for piece, n in self.steps(text):
+            ends.append(ends[-1] + len(piece.encode()))
+            counts.append(counts[-1] + n)
         return ends, counts
 
     def within(self, text: str, budget: int) -> int:
-        """The most leading bytes, ending at a token, that the text's own first `budget` tokens cover."""
-        ends, counts = self.prefixes(text)
-        k = bisect.bisect_right(counts, budget) - 1
-        if k == len(ends) - 1:
-            return ends[k]
-        piece, room = text.encode()[ends[k] : ends[k + 1]], budget - counts[k]
-        cut, total = self.cuts(piece)
-        return ends[k] + (cut[room] if room < total else len(piece))
-
-    def cuts(self, piece: bytes) -> tuple[list[int], int]:
-        """Ends of a piece's tokens, found by walking the last tokens back from its end."""
-        n = len(piece)
-        counts = self.table(piece)
-        back = [n]
-        while back[-1]:
-            end = back[-1]
-            want = counts[end] - 1
-            start = next(s for s in range(max(0, end - self.longest), end) if counts[s] == want and (t := self.ids.get(piece[s:end])) is not None and self._chain(piece, s, t))
-            back.append(start)
-        return back[::-1], counts[n]
-
-    def _chain(self, piece: bytes, start: int, token: int) -> bool:
-        if not start:
-            return self._fit(-1, token)
-        made = self.model.tokenize("".join(map(self.letters.__getitem__, piece[:start])))
-        return self._fit(made[-1].id, token)
+        """The leading bytes that the text's own first `budget` tokens cover; no more of the text is looked at."""
+        at = used = 0
+        for piece, n in self.steps(text):
+            if used + n > budget:
+                return at + (self.cuts(piece.encode())[budget - used] if budget > used else 0)
+            at, used = at + len(piece.encode()), used + n
+        return at
 
 
 _tables: dict[str, PrefixTables] = {}
@@ -179,9 +174,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, id_column: s
     """Token counts of whole texts: (id, n_bytes, n_tokens, over_limit, limit_bytes).
 
     tokenizer: a byte-level BPE file in the `tokenizers` format, at the same
-    path on every executor. limit_bytes: how many leading bytes stay within
-    `limit` tokens when the text is longer, else n_bytes; it comes from the same
-    prefix table. One row for each input row, repeated rows included, in any
+    path on every executor. limit_bytes: how many leading bytes the first
+    `limit` tokens cover when there are more, else n_bytes; it is looked up in
+    the same prefix tables. One row for each input row, repeated rows included, in any
     order; a null text counts as empty (0 bytes, 0 tokens), a null id stays
     null, an empty table gives none; other columns are not read. No shuffle.
     """
@@ -196,11 +191,11 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, id_column: s
             totals = list(map(tables.total, texts))
             sizes = [len(x.encode()) for x in texts]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(totals, pa.int64()), pa.array([n > limit for n in totals], pa.bool_())],
-                ["doc_id", "n_bytes", "n_tokens", "over_limit"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(totals, pa.int64()), pa.array([n > limit for n in totals], pa.bool_()), pa.array([tables.within(x, limit) if n > limit else k for x, n, k in zip(texts, totals, sizes, strict=True)], pa.int64())],
+                ["doc_id", "n_bytes", "n_tokens", "over_limit", "limit_bytes"],
             )
 
-    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean, limit_bytes long")
 
 
 def truncate_texts(docs: DataFrame, tokenizer: str, budget: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
