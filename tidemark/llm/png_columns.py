@@ -36,6 +36,11 @@ def _chunk(kind: bytes, body: bytes) -> bytes:
     return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(body, zlib.crc32(kind)))
 
 
+def _differences(x: np.ndarray) -> int:
+    """The sum of absolute values of all filtered samples, read as signed."""
+    return int(np.minimum(x, np.negative(x)).sum(dtype=np.int64))
+
+
 def write_png(samples: np.ndarray, level: int = 1) -> bytes:
     """A lossless 8-bit greyscale file of a 2-D array; one row filter for the image, by least sum of differences."""
     height, width = samples.shape
@@ -43,7 +48,7 @@ def write_png(samples: np.ndarray, level: int = 1) -> bytes:
     left[:, 1:] -= samples[:, :-1]
     above[1:] -= samples[:-1]
     tried = (samples, left, above)
-    kind = int(np.argmin([np.abs(x[:256].view(np.int8).astype(np.int32)).sum() for x in tried]))
+    kind = int(np.argmin([_differences(x) for x in tried]))
     rows = np.empty((height, width + 1), np.uint8)
     rows[:, 0] = kind
     rows[:, 1:] = tried[kind]
