@@ -260,3 +260,52 @@ def test_pipeline_stages(spark, docs, labels, rows, tmp_path):
     assert {100, 101, 102, 110} & set(seen["simhash_near_dedup"]) == {100}
     assert 2 in seen["suffix_array_dedup"] and 2 not in seen["benchmark_decontamination"] and 1 in seen["benchmark_decontamination"]
     assert set(seen["source_mixing"]) <= set(seen["benchmark_decontamination"])
+
+
+def test_pipeline_on_empty_tables(spark, nothing, labels, tmp_path):
+    import corpus_pipeline as p
+
+    nothing.select(*p.COLUMNS).withColumn("doc_id", nothing["doc_id"].cast("string")).write.parquet(str(tmp_path / "documents.parquet"))
+    labels.limit(0).withColumn("doc_id", labels["doc_id"].cast("string")).write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    at = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in p.STAGES[:-1]:
+        at = stage(spark, at, str(tmp_path))
+        assert at.columns == p.COLUMNS and at.schema["doc_id"].dataType.simpleString() == "string", name
+    made = p.run(spark, str(tmp_path))
+    assert made.count() == 0 and made.columns[0] == "doc_id"
+
+
+def test_texts_under_one_id_or_none_are_documents_of_their_own(spark):
+    import corpus_pipeline as p
+
+    rng = random.Random(21)
+    text = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(40))
+    made = [text() for _ in range(7)]
+    near = made[0].split()
+    near[3] = "changed"
+    rows = [(None, made[1]), (None, made[2]), (None, made[3]), (5, made[4]), (5, made[5]), (6, made[0]), (9, " ".join(near)), (None, made[0]), (5, made[4]), (None, made[1]), (7, made[6]), (7, made[6])]
+    docs = spark.createDataFrame([(i, t, None, "s", 1 + k % 3) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    got = sorted(((r["doc_id"], r["text"]) for r in p.drop_near_duplicates(spark, docs, "").collect()), key=repr)
+    want = [(None, made[1]), (None, made[2]), (None, made[3]), (5, made[4]), (5, made[5]), (6, made[0]), (7, made[6])]
+    assert got == sorted(want, key=repr)
+
+
+def test_shared_passages_shorter_than_the_limit_are_told(spark):
+    rng = random.Random(22)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    passage = text(56)  # 391 bytes, as long as it can be and not be removed
+    docs = spark.createDataFrame([(k, text(80) + (" " + passage + " " if k < 8 else " ") + text(80)) for k in range(16)], "doc_id long, text string")
+    for r in suffix_dedup.remove_repeats(docs).collect():
+        assert (r["n_removed"], r["n_shared"] > 0) == (0, r["doc_id"] < 8)
+
+
+def test_long_test_items_are_searched_in_rounds(spark, docs, rows, monkeypatch):
+    items = [(k, " ".join(rows[k][1].split()[:12])) for k in range(6)]
+    tests = spark.createDataFrame(items, "item_id long, text string")
+    want = brute_windows(rows, items)
+    monkeypatch.setattr("tidemark.llm.phrase_index.TEXT_AT_ONCE", 150)
+    got = sorted(((r["doc_id"], r["n_words"], sum(s["length"] for s in r["spans"]), sorted(set(r["items"]))) for r in decontaminate(docs, tests).collect()), key=repr)
+    assert got == want
+    with pytest.raises(ValueError, match="near"):
+        decontaminate(docs, tests, near=600)

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -25,19 +26,31 @@ def test_token_counts_and_prefixes(docs, nothing, rows):
     path = public.path("byte_bpe_50k.json")
     library = tokenizers.Tokenizer.from_file(path)
     count = lambda t: len(library.encode(t, add_special_tokens=False).ids)
-    want = sorted(((i, len((t or "").encode()), count(t or ""), count(t or "") > 512) for i, t, *_ in rows), key=repr)
-    assert sorted(map(tuple, count_tokens(docs, path).collect()), key=repr) == want
+    ends = lambda t, n: len(library.decode(library.encode(t, add_special_tokens=False).ids[:n], skip_special_tokens=False).encode())
+    limit = 40
+    want = sorted(((i, len((t or "").encode()), count(t or ""), count(t or "") > limit) for i, t, *_ in rows), key=repr)
+    got = count_tokens(docs, path, limit=limit).collect()
+    assert sorted((tuple(r)[:4] for r in got), key=repr) == want
+    by_id = {i: t or "" for i, t, *_ in rows if (t or "").isascii()}
+    assert all(r["limit_bytes"] == (ends(by_id[r["doc_id"]], limit) if r["over_limit"] else r["n_bytes"]) for r in got if r["doc_id"] in by_id)
     assert count_tokens(nothing, path).count() == 0
     tables = PrefixTables(path)
-    for t in ["", "it'll be  <|endoftext|> naïve\n\n\n x", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "漢字 \x1c\x85 '"]:
+    for t in ["", "it'll be  <|endoftext|> naïve\n\n\n x", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "漢字 \x1c\x85 '", "<|endoftext|>", "a<|endoftext|><|endoftext|>b <"]:
         assert tables.total(t) == count(t)
-        ends, counts = tables.prefixes(t)
-        assert ends[-1] == len(t.encode()) and counts[-1] == count(t)
-    word = " unbelievably"
-    assert tables.table(word.encode()) == [0] + [count(word[:k]) for k in range(1, len(word) + 1)]
-    ids = library.encode("some longer text to be cut").ids
+        at, counts = tables.prefixes(t)
+        assert at[-1] == len(t.encode()) and counts[-1] == count(t)
+    rng = random.Random(5)
+    for _ in range(60):
+        piece = " " * rng.randint(0, 1) + "".join(rng.choice("aeinorstlu") for _ in range(rng.randint(1, 24)))
+        raw = piece.encode()
+        made = [[x.id for x in tables.model.tokenize("".join(tables.letters[b] for b in raw[:k]))] for k in range(len(raw) + 1)]
+        counts, last = tables.table(raw)
+        assert counts == [len(x) for x in made] and last == [x[-1] if x else -1 for x in made]
+        assert np.diff(tables.cuts(raw)).tolist() == [len(tables.bytes_of[x]) for x in made[-1]]
+    text = "some longer text to be cut"
+    ids = library.encode(text).ids
     for n in range(len(ids) + 2):
-        assert "some longer text to be cut".encode()[: tables.within("some longer text to be cut", n)].decode() == library.decode(ids[:n])
+        assert text.encode()[: tables.within(text, n)].decode() == library.decode(ids[:n])
     assert {r["n_tokens"] for r in truncate_texts(docs, path, 3).collect()} <= {0, 1, 2, 3}
 
 
@@ -78,6 +91,35 @@ def test_cosine_hash_is_stable_under_small_changes():
     assert far <= 12 and len(png.cosine_hash(x[:1])) == 16
 
 
+def test_cosine_hash_equals_plain_sums():
+    """Means of rectangles and cosine sums written out, for images larger and smaller than the grid."""
+    rng = np.random.default_rng(8)
+    for shape in ((96, 64), (33, 64), (1, 64), (700, 64)):
+        x = rng.integers(0, 256, shape).astype(np.uint8)
+        grid = [[0.0] * png.GRID for _ in range(png.GRID)]
+        for i in range(png.GRID):
+            for j in range(png.GRID):
+                r0, r1 = i * shape[0] // png.GRID, max((i + 1) * shape[0] // png.GRID, i * shape[0] // png.GRID + 1)
+                c0, c1 = j * shape[1] // png.GRID, max((j + 1) * shape[1] // png.GRID, j * shape[1] // png.GRID + 1)
+                grid[i][j] = x[r0:r1, c0:c1].astype(float).mean()
+        wave = lambda k, n: math.cos(math.pi * k * (2 * n + 1) / (2 * png.GRID))
+        low = [sum(grid[i][j] * wave(u, i) * wave(v, j) for i in range(png.GRID) for j in range(png.GRID)) for u in range(1, png.LOW + 1) for v in range(1, png.LOW + 1)]
+        middle = float(np.median(np.round(low, 6)))
+        bits = "".join("1" if round(v, 6) > middle else "0" for v in low)
+        assert png.cosine_hash(x) == f"{int(bits, 2):016x}"
+
+
+def test_filter_is_chosen_over_all_rows():
+    """Rows of noise after many equal ones decide the filter."""
+    image = np.vstack([np.tile(np.arange(64, dtype=np.uint8), (300, 1)), np.random.default_rng(2).integers(0, 60, (900, 64)).astype(np.uint8)])
+    stored = png.write_png(image)
+    assert (png.read_png(stored) == image).all()
+    tried = [image, np.diff(image, axis=1, prepend=np.uint8(0)), np.diff(image, axis=0, prepend=np.zeros((1, 64), np.uint8))]
+    costs = [sum(min(v, 256 - v) for v in x.ravel().tolist()) for x in tried]
+    body = b"".join(b for k, b in png.chunks_of(stored) if k == b"IDAT")
+    assert zlib.decompress(body)[0] == costs.index(min(costs))
+
+
 def test_licences(spark, docs, nothing):
     mit = KNOWN[1][1]
     made = [(1, mit), (2, "Copyright (c) 2020 Someone\nAll rights reserved.\n\n" + mit.upper().replace(",", " ;")), (3, mit + " more"), (4, None), (5, "© 2001 x\n" + mit.replace("sublicense", "sub-license").replace(" ", "\n", 40)), (6, "released under the MIT licence")]
@@ -88,24 +130,34 @@ def test_licences(spark, docs, nothing):
     assert "Python" not in plan and "Arrow" not in plan
 
 
-def test_language_model_equals_brute_force(docs, nothing, rows):
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_language_model_equals_brute_force(docs, nothing, rows, order):
     texts = [(i, re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()) + [None], zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2) for i, t, *_ in rows]
-    one, two = Counter(), Counter()
+    seen = Counter()
     for _, t, held in texts:
-        if not held:
-            one.update(t)
-            two.update(zip([0] + t[:-1], t, strict=True))
+        for k in range(len(t) if not held else 0):
+            for length in range(1, order + 1):
+                if length <= k + 2:
+                    seen[tuple(([0] + t)[max(0, k + 2 - length) : k + 2])] += 1
+    one = {g[0]: c for g, c in seen.items() if len(g) == 1}
     n, v, m = sum(one.values()), len(one), STRENGTH
     e, starts = sum(c == 1 for c in one.values()) / (n + 2), sum(not h for *_, h in texts)
+
+    def p(context, w):
+        if not context:
+            return (1 - e) * one[w] / n if w in one else e
+        total = starts if context == (0,) else seen[context]
+        return (seen[*context, w] + m * p(context[1:], w)) / (total + m)
+
     want = []
     for i, t, held in texts:
-        root = lambda w: (1 - e) * one[w] / n if one[w] else e
-        score = sum(math.log10((two[u, w] + m * root(w)) / ((starts if u == 0 else one[u]) + m)) for u, w in zip([0] + t[:-1], t, strict=True))
-        want.append((i, held, len(t), sum(one[w] > 0 for w in t), n, round(sum(math.log10((one[w] + 1) / (n + v + 1)) for w in t), 6), round(score, 6)))
-    for size in (1 << 30, 3000):  # in one chunk and in many
-        got = [(*r[:5], round(r[5], 6), round(r[6], 6)) for r in score_texts(docs, chunk_bytes=size).collect()]
+        score = sum(math.log10(p(tuple(([0] + t)[max(0, k + 2 - order) : k + 1]), w)) for k, w in enumerate(t))
+        want.append((i, held, len(t), sum(w in one for w in t), n, round(sum(math.log10((one.get(w, 0) + 1) / (n + v + 1)) for w in t), 6), round(score, 6)))
+    for size in (1 << 30, 3000) if order < 4 else (3000,):  # in one chunk and in many
+        got = [(*r[:5], round(r[5], 6), round(r[6], 6)) for r in score_texts(docs, order=order, chunk_bytes=size).collect()]
         assert sorted(got, key=repr) == sorted(want, key=repr)
-    assert score_texts(nothing).count() == 0
+    if order == 2:
+        assert score_texts(nothing).count() == 0
 
 
 def test_packing():
@@ -135,6 +187,74 @@ def test_toxicity_restores_partly_spaced_and_doubled_words(spark, docs, labels):
     assert [w for k, w in enumerate(hidden + clean) if got[k] != (k < len(hidden))] == []
 
 
+def test_decoding_equals_all_paths():
+    """The best path of a lattice, found by writing out every path."""
+    from tidemark.llm.toxicity import SYMBOLS, arcs, character_model, decode, positions
+
+    rng = random.Random(7)
+    counts = np.zeros(SYMBOLS**4)
+    for _ in range(400):
+        counts[rng.randrange(SYMBOLS**4)] += rng.randint(1, 9)
+    model = character_model(counts, ["stupid", "clown"])
+
+    def cost_of(path):
+        """Score of outputs and costs along a path, ended by a space."""
+        score, history = 0.0, 0
+        for out, cost in [*path, (" ", 0.0)]:
+            score -= cost
+            for x in out:
+                symbol = 27 if x >= "\x80" else ord(x) - 96 if "a" <= x <= "z" else 0
+                if symbol or history % SYMBOLS:
+                    score += model[history * SYMBOLS + symbol]
+                    history = (history * SYMBOLS + symbol) % SYMBOLS**3
+        return score
+
+    for _ in range(60):
+        segment = "".join(rng.choice("stupidclown5@!|*- .1é") for _ in range(rng.randint(1, 6)))
+        paths = [()]
+        for c, run in positions(segment):
+            paths = [(*p, a) for p in paths for a in arcs(c, run)]
+        scores = {}
+        for p in paths:
+            text = " ".join("".join(out for out, _ in p).split())
+            scores[text] = max(scores.get(text, -math.inf), cost_of(p))
+        assert scores[decode(segment, model)] >= max(scores.values()) - 1e-9, segment
+
+
+def test_statistics_and_traversal_equal_plain_python(rows):
+    from tidemark.llm.quality_trees import FEATURES, statistics
+
+    texts = [(t or "").encode() for _, t, *_ in rows[:70]]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    got = statistics(np.frombuffer(b"".join(texts), np.uint8), offsets)
+    for t, x in zip(texts, got, strict=True):
+        words = re.findall(rb"[^\x20\x09-\x0D]+", t)
+        low = [bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in words]
+        n, lines = max(1, len(words)), [v for v in re.findall(rb"[^\n]+", t)]
+        sizes = [len(w) for w in words]
+        mean = sum(sizes) / n
+        want = {
+            "log_bytes": math.log1p(len(t)), "lower": sum(97 <= c < 123 for c in t) / max(1, len(t)), "upper": sum(65 <= c < 91 for c in t) / max(1, len(t)), "digit": sum(48 <= c < 58 for c in t) / max(1, len(t)),
+            "space": sum(c in (32, 9, 13) for c in t) / max(1, len(t)), "newline": t.count(b"\n") / max(1, len(t)), "beyond_ascii": sum(c >= 128 for c in t) / max(1, len(t)), "log_words": math.log1p(len(words)), "word_mean": mean,
+            "word_sd": math.sqrt(max(0, sum(k * k for k in sizes) / n - mean**2)), "distinct_words": (len(set(low)) + 1) / (len(words) + 1), "top_word": max(Counter(low).values(), default=0) / n,
+            "same_as_last": sum(a == b for a, b in zip(low, low[1:])) / n, "distinct_pairs": (len(set(zip(low, low[1:]))) + 1) / n, "log_lines": math.log1p(len(lines)),
+            "distinct_lines": (len({v.translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))) for v in lines}) + 1) / (len(lines) + 1), "line_bytes": len(t) / max(1, len(lines)),
+            "one_byte_words": sum(k == 1 for k in sizes) / n, "long_words": sum(k > 20 for k in sizes) / n,
+        }
+        for name, value in want.items():
+            assert math.isclose(x[FEATURES.index(name)], value, abs_tol=1e-9), (name, t[:40])
+    y = np.arange(len(got)) % 2
+    trees = fit_trees(got, y.astype(float), rounds=7, least=1.0)
+    for row, raw in zip(got, trees.raw(got), strict=True):
+        total = trees.base
+        for feature, threshold, leaf in zip(trees.feature, trees.threshold, trees.leaf, strict=True):
+            at = 0
+            while at < len(feature):
+                at = 2 * at + (2 if row[feature[at]] > threshold[at] else 1)
+            total += leaf[at - len(feature)]
+        assert math.isclose(total, raw, abs_tol=1e-9)
+
+
 def test_quality_trees(docs, nothing, labels):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(2000, 4))
