@@ -151,7 +151,9 @@ def common_shingles(prints: DataFrame, words: int) -> np.ndarray:
 
 def first_members(own: np.ndarray, common: np.ndarray) -> np.ndarray:
     """The members of a sorted set that stand for it: in ascending order, common ones last."""
-    last = np.isin(own, common)
+    at = np.searchsorted(common, own)
+    last = at < len(common)
+    last[last] = common[at[last]] == own[last]
     return np.concatenate([own[~last], own[last]])[: prefix_size(len(own))]
 
 
