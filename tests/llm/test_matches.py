@@ -35,10 +35,11 @@ def groups(nodes, linked):
 def test_components(spark):
     rng = random.Random(2)
     links = [(k, k + 1) for k in range(0, 60)] + [(rng.randint(100, 160), rng.randint(100, 160)) for _ in range(40)] + [(7, 7), (3, None)]
-    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     real = [(a, b) for a, b in links if b is not None and a != b]
-    assert got == groups({x for p in real for x in p}, real)
-    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    for most in (0, 1000):  # in rounds, and by one task
+        got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a long, b long"), most).collect()}
+        assert got == groups({x for p in real for x in p}, real)
+        assert connected_components(spark.createDataFrame([], "a long, b long"), most).count() == 0
 
 
 def fingerprint(text):
