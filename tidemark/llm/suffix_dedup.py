@@ -39,6 +39,8 @@ from .textbytes import blocks, mix, prefix_hash, small_batches, span_hash, total
 MIN_BYTES = 400
 #: Suffixes in one bucket, about.
 BUCKET_ROWS = 400_000
+#: Texts to compare (8 bytes each) up to which their list is broadcast; beyond, texts are shuffled to it.
+BROADCAST_ROWS = 1_000_000
 #: Bytes of text that are compared or cut together, about.
 CHUNK = 8 << 20
 
@@ -304,9 +306,9 @@ def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, characters: bool
         # a chunk gets the hashes that occur twice, of those it sent
         return pa.table({"chunk": asked.column("chunk"), "keys": pa.array([pack(np.diff(k[t], prepend=np.uint64(0))) for k, t in zip(keys, np.split(twice, sizes), strict=True)], pa.binary())})
 
-    # written first, so that it is broadcast if it is small, by its size, and texts are shuffled only if it is not
     compared = saved(marks.where("differs").select("row").distinct(), "compared")
-    asking = dealt.join(compared, "row", "left_semi").select("row", "text", "chunk")
+    few = compared.count() <= BROADCAST_ROWS
+    asking = dealt.join(F.broadcast(compared) if few else compared.hint("merge"), "row", "left_semi").select("row", "text", "chunk")
     asked = asking.groupBy("chunk").cogroup(marks.where("differs").groupBy("chunk")).applyInArrow(ask, "shard int, chunk int, keys binary, counts binary")
     answers = saved(asked.groupBy("shard").applyInArrow(answer, "chunk int, keys binary"), "strings")
     # one table holds what a chunk is told: marks of its suffixes, and hashes of strings that repeat
