@@ -83,8 +83,9 @@ class Fill(Source):
 
 class Keep(Sink):
     def __init__(self, *args, batched=True):
-        super().__init__(*args)
+        super().__init__(*args, options={"to": "memory"})
         self.batched, self.seen = batched, []
+        assert self.fqn == f"dl.main.{self.table}" and self.options["to"] == "memory"
 
     def flush(self, changes):
         self.seen.append((changes.snapshot_start, changes.snapshot_end, sorted((r.change_type, r.id) for r in changes.changes().collect()), changes.current().count()))

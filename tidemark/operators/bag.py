@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 W = "_w"
+#: Copies of a row that are made at once.
+REPEAT_BLOCK = 4096
 
 
 def columns(df: DataFrame) -> list[str]:
@@ -39,10 +41,16 @@ def minus(new: DataFrame, old: DataFrame) -> DataFrame:
     return net(plus([signed(new), signed(old, -1)]))
 
 
+def repeated(df: DataFrame, times: Column) -> DataFrame:
+    """Each row as often as `times` says (1 at least), in blocks, so that no row is held in one huge array."""
+    whole = df.withColumn("_times", times).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_times") - 1) / REPEAT_BLOCK))))
+    size = F.least(F.lit(REPEAT_BLOCK).cast("long"), F.col("_times") - F.col("_block") * REPEAT_BLOCK)
+    return whole.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), size))).drop("_times", "_block", "_copy")
+
+
 def expand(bag: DataFrame) -> DataFrame:
     """A plain bag again: each row as often as it is held."""
-    kept = [name(c) for c in columns(bag)]
-    return bag.where(name(W) > 0).withColumn("_copy", F.explode(F.array_repeat(F.lit(True), name(W).cast("int")))).select(*kept)
+    return repeated(bag.where(name(W) > 0), name(W)).select(*[name(c) for c in columns(bag)])
 
 
 def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
@@ -52,11 +60,14 @@ def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
 
 def matching(df: DataFrame, keys: DataFrame, how: str = "left_semi") -> DataFrame:
     """Rows of `df` whose columns named in `keys` are (left_semi) or are not (left_anti) among its rows; null matches null."""
-    return df.join(keys, same(df, keys, keys.columns), how) if keys.columns else (df if how == "left_semi" else df.limit(0))
+    if not keys.columns:
+        return df if how == "left_semi" else df.limit(0)
+    own = keys.select(*[name(k).alias(f"_m{i}") for i, k in enumerate(keys.columns)])  # new columns, whatever the keys were made from
+    return df.join(own, reduce(lambda a, b: a & b, [df[f"`{k}`"].eqNullSafe(own[f"_m{i}"]) for i, k in enumerate(keys.columns)]), how)
 
 
 def applied(old: DataFrame, delta: DataFrame) -> DataFrame:
-    """The plain bag `old` after a netted delta.
+    """The plain bag `old` after a netted delta, or one of a single sign.
 
     Only rows that lose copies are regrouped; all others pass through, so a
     small delta is broadcast and the old rows are not shuffled.

@@ -11,10 +11,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .plans.view import MaterializedView, Naming, compile_ivm
+from .operators.bag import signed
+from .plans.view import MaterializedView, Naming, compile_ivm, tables_named
 from .sources.plugins import ChangeSet, Effector, EffectorResult, FlushResult, Sink, Source, SyncResult
 from .sources.versioned import AFTER, BEFORE, DELETE, Catalog
 
+#: Rows of an effector's output that the driver holds before they are written.
+OUTPUT_ROWS = 10_000
 DETAILS = ("none", "cursor_distance", "rows_changed")
 
 
@@ -63,6 +66,70 @@ class MaintenancePlan:
         return out
 
 
+class Orchestrator:
+    def __init__(self, spark: SparkSession, naming: type[Naming] = Naming):
+        self.spark, self.naming = spark, naming
+        self.catalogs: dict[str, Catalog] = {}
+        self.sources: list[Source] = []
+        self.sinks: list[Sink] = []
+        self.effectors: list[Effector] = []
+        self.specs: dict[str, dict] = {}
+        self.views: dict[str, MaterializedView] = {}
+        self._one = ThreadPoolExecutor(1)
+
+    # -- registration --------------------------------------------------------
+    def setup_extensions(self, run) -> None:
+        """Lets a project prepare the session (jars, functions)."""
+        run(self.spark)
+
+    def setup_secrets(self, run) -> None:
+        """Lets a project set credentials in the session."""
+        run(self.spark)
+
+    def add_catalog(self, name: str, root: str | Catalog) -> Catalog:
+        self.catalogs[name] = root if isinstance(root, Catalog) else Catalog(self.spark, name, root)
+        return self.catalogs[name]
+
+    def add_source(self, source: Source) -> None:
+        self.sources.append(source)
+
+    def add_sink(self, sink: Sink) -> None:
+        self.sinks.append(sink)
+
+    def add_effector(self, effector: Effector) -> None:
+        self.effectors.append(effector)
+
+    def add_ivm(self, catalog: str, name: str, view_sql: str, schema: str = "main", sources: dict[str, dict] | None = None, strategy: str | None = None) -> None:
+        """Registers a view; it is compiled when what it reads exists."""
+        key = f"{catalog}.{schema}.{name}"
+        if key in self.specs:
+            raise OrchestratorError(f"{key} is registered twice")
+        self.specs[key] = {"name": name, "view_sql": view_sql, "mv_catalog": catalog, "mv_schema": schema, "sources": sources, "strategy": strategy}
+
+    # -- dependencies ----------------------------------------------------------
+    def _reads(self, key: str) -> set[str]:
+        """Registered views that a view's parsed SQL reads, before anything is compiled."""
+        spec, out = self.specs[key], set()
+        named = tables_named(self.spark, spec["view_sql"]) or set()
+        for other, s in self.specs.items():
+            cat, schema, name = s["mv_catalog"].lower(), s["mv_schema"].lower(), s["name"].lower()
+            mapped = {k.lower(): v for k, v in (spec["sources"] or {}).items()}.get(name)
+            if mapped:
+                bare = (mapped.get("catalog", "").lower(), mapped.get("schema", "main").lower()) == (cat, schema)
+            else:
+                bare = spec["mv_catalog"].lower() == cat and schema in ("main", spec["mv_schema"].lower())
+            near = spec["mv_catalog"].lower() == cat
+            if (cat, schema, name) in named or (near and (schema, name) in named) or (bare and (name,) in named):
+                out.add(other)
+        return out
+
+    def levels(self) -> list[list[Step]]:
+        out: list[list[Step]] = [[] for _ in range(max((s.level for s in self.steps), default=-1) + 1)]
+        for s in self.steps:
+            out[s.level].append(s)
+        return out
+
+
 class Orchestrator:
     def __init__(self, spark: SparkSession, naming: type[Naming] = Naming):
         self.spark, self.naming = spark, naming
@@ -161,13 +228,16 @@ class Orchestrator:
                     raise CatalogNotFoundError(name)
                 if not isinstance(self.catalogs[name], Catalog):
                     raise NotVersionedError(name)
-        made = set()
+        filled = {(s.catalog.lower(), s.table.lower()) for s in self.sources}  # tables that a source may yet create
+        waiting: set[str] = set()
         for level in self.levels():
             for key in level:
-                waits = {k for k in self._reads(key) if k in made and not self._exists(k)}
-                if not waits and not self.sources:
+                spec = self.specs[key]
+                missing = {n for n in tables_named(self.spark, spec["view_sql"]) or () if any(t == n[-1] and not self.catalogs[c].has(f"main.{t}") for c, t in filled if c in self.catalogs)}
+                if missing or any(k in waiting or not self._exists(k) for k in self._reads(key)):
+                    waiting.add(key)
+                else:
                     self._compile(key)
-                made.add(key)
 
     def _exists(self, key: str) -> bool:
         spec = self.specs[key]
@@ -241,6 +311,10 @@ class Orchestrator:
                         print(describe(step), flush=True)
         return done
 
+    def compact(self) -> dict[str, list[str]]:
+        """Copies tables whose changes have grown to a share of them, by catalog; a job apart from maintenance."""
+        return {name: catalog.compact() for name, catalog in self.catalogs.items()}
+
     async def maintain_async(self, parallelism: int = 1) -> list[Step]:
         done: list[Step] = []
         gate = asyncio.Semaphore(max(1, parallelism))
@@ -290,9 +364,9 @@ class Orchestrator:
 
     def _flush_effector(self, e: Effector) -> EffectorResult:
         catalog, result = self.catalogs[e.catalog], EffectorResult()
-        table = catalog.table(f"{e.schema}.{e.table}")
+        table, output = catalog.table(f"{e.schema}.{e.table}"), f"{e.schema}.{e.output_table}"
         for start, end in self._ranges("effector", e, batched=False):
-            rows, names = [], [n for n, _ in e.columns]
+            rows, names, staged = [], [n for n, _ in e.columns], None
             olds: dict[int, dict] = {}
             # side effects are ordered, so rows come to the driver one partition at a time
             for r in table.changes(start, end).orderBy("change_id", F.col("change_type") == AFTER).toLocalIterator():
@@ -320,10 +394,14 @@ class Orchestrator:
                     result.rows_skipped += 1
                 else:
                     rows.append(tuple(made.get(n) for n in names) + ((None,) if e.on_error == "store" else ()))
+                if len(rows) >= OUTPUT_ROWS:
+                    result.rows_inserted += len(rows)
+                    staged, rows = catalog.stage(output, signed(self.spark.createDataFrame(rows, e.output_schema)), staged), []
             result.rows_inserted += len(rows)
             if rows:
-                catalog.table(f"{e.schema}.{e.output_table}").insert(self.spark.createDataFrame(rows, e.output_schema))
-            catalog.move_cursors({self._plugin_key("effector", e): end})
+                staged = catalog.stage(output, signed(self.spark.createDataFrame(rows, e.output_schema)), staged)
+            # output and cursor are one commit: a version is accounted for with its output or not at all
+            catalog.commit({output: staged} if staged else {}, cursors={self._plugin_key("effector", e): end})
         return result
 
     # -- reports ---------------------------------------------------------------------

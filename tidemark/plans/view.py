@@ -178,12 +178,16 @@ class MaterializedView:
             if old != new:
                 self.catalog.move_cursors(moved)
             return None
-        before = self.catalog.latest_version()
-        changes = self._incremental(old, new, touched) if self.strategy == INCREMENTAL else {self.key: minus(self.recompute(new), self.table.as_of(before))}
-        after = self.catalog.commit(changes, cursors=moved)
+        before, scratch = self.catalog.latest_version(), []
+        try:
+            changes = self._incremental(old, new, touched, scratch) if self.strategy == INCREMENTAL else {self.key: minus(self.recompute(new), self.table.as_of(before))}
+            after = self.catalog.commit(changes, cursors=moved)
+        finally:
+            for path in scratch:
+                self.catalog.files.remove(path)
         return after if after != before else None
 
-    def _incremental(self, old: dict[str, int], new: dict[str, int], touched: list[tuple[str, str]]) -> dict[str, DataFrame]:
+    def _incremental(self, old: dict[str, int], new: dict[str, int], touched: list[tuple[str, str]], scratch: list[str]) -> dict[str, DataFrame]:
         c, plan, merge = self._parts()
         deltas: dict[str, DataFrame | None] = {}
 
@@ -192,7 +196,7 @@ class MaterializedView:
             if (table.catalog.name, table.key) not in touched:
                 return None
             if table.fqn not in deltas:
-                deltas[table.fqn] = table.delta(old[table.catalog.name] + 1, new[table.catalog.name])
+                deltas[table.fqn] = table.delta(old[table.catalog.name] + 1, new[table.catalog.name], raw=True)
             return deltas[table.fqn].select(*[f"`{n}`" for n in names], W)
 
         rules = Deltas(c, self._at(c, old), self._at(c, new), changed, stored=self.table.as_of(), root=plan)
@@ -201,19 +205,22 @@ class MaterializedView:
             child = c.children(merge.plan)[0]
             delta = rules.of(child)
             if delta is not None:
-                state = self.catalog.table(self.state_key).as_of()
-                inserts = all(v in self.catalogs[cat]._tables[key].only_inserts for cat, key in touched for v in self.catalogs[cat].table(key).changed_in(old[cat] + 1, new[cat]))
-                monotone = all(c.kind(n) in {"Project", "Filter", "Union", "LogicalRelation", "Generate"} or (c.kind(n) == "Join" and n.joinType().toString() in {"Inner", "Cross", "LeftSemi"}) for n in c.nodes(child))
-                if merge.only_inserts and not (inserts and monotone):
+                # a row a group; it is written, as the state and the view both come from it
+                step = self.catalog.scratch(merge.step(delta, child), scratch)
+
+                def again(groups: DataFrame) -> DataFrame | None:
+                    groups = self.catalog.scratch(groups, scratch)
+                    if groups.isEmpty():
+                        return None
                     keys = c.items(merge.plan.groupingExpressions())
-                    groups = rules._touched(delta, child, keys).distinct()
-                    fresh = rules._only(rules.state(child, rules.new), child, keys, groups)
-                    step = merge.regrouped(state, c.frame(fresh), groups.toDF(*merge.group), child)
-                else:
-                    step = merge.advance(state, delta, child)
-                step = net(step)
-                out[self.state_key] = step
-                rules.known.append((merge.plan, merge.rows(step)))
+                    if not keys:
+                        return rules.state(child, rules.new)
+                    touched = groups.toDF(*[f"k{i}" for i in range(len(keys))])
+                    return self.catalog.scratch(c.frame(rules._only(rules.state(child, rules.new), child, keys, touched)), scratch)
+
+                moved = net(merge.advance(self.catalog.table(self.state_key).as_of(), step, child, again))
+                out[self.state_key] = moved
+                rules.known.append((merge.plan, merge.rows(moved)))
         delta = rules.of(plan)
         if delta is None:
             return {}
@@ -224,6 +231,36 @@ class MaterializedView:
         return self.table.as_of()
 
 
+#: String literals of Spark's SQL, which no name is looked for in.
+_LITERAL = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\""""
+
+
+def tables_named(spark: SparkSession, sql: str) -> set[tuple[str, ...]] | None:
+    """The names of the tables that a query reads, as parsed; names of its own WITH are left out. None if it cannot be parsed."""
+    c = Catalyst(spark)
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    except ParseException:
+        return None
+    found: set[tuple[str, ...]] = set()
+
+    def walk(node, own: frozenset) -> None:
+        kind = c.kind(node)
+        if kind == "UnresolvedWith":
+            for pair in c.items(node.cteRelations()):
+                walk(pair._2(), own)
+                own = own | {(pair._1().lower(),)}
+        if kind == "UnresolvedRelation":
+            name = tuple(x.lower() for x in c.items(node.multipartIdentifier()))
+            if name not in own:
+                found.add(name)
+        for x in [*c.children(node), *c.items(node.subqueries().toIndexedSeq())]:
+            walk(x, own)
+
+    walk(plan, frozenset())
+    return found
+
+
 def _folder(path: str) -> str:
     return re.sub(r"^file:/+", "/", path).rstrip("/")
 
@@ -244,7 +281,7 @@ def _analysed(spark: SparkSession, sql: str, frames: dict[str, DataFrame], catal
         flat = name.replace(".", "__")
         if "." in name:
             pattern = r"\.".join(rf"`?{re.escape(p)}`?" for p in name.split("."))
-            sql = re.sub(rf"(?<![\w.`]){pattern}(?![\w`])", f"`{flat}`", sql)
+            sql = re.sub(rf"({_LITERAL})|(?<![\w.`]){pattern}(?![\w`])", lambda m, flat=flat: m.group(1) or f"`{flat}`", sql)
         jdf = own._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own._jsparkSession, df._jdf.queryExecution().analyzed())
         DataFrame(jdf, own).createOrReplaceTempView(flat)
     made = own.sql(sql)

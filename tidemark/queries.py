@@ -114,6 +114,7 @@ def prepared(spark: SparkSession, sf_dir: str) -> tuple[Catalog, dict[str, int]]
         start = catalog.commit({}, first)
         for changes in (inserted, deleted):
             catalog.commit({k: d for k, d in changes.items()})
+        catalog.compact()
         _prepared[held] = (catalog, {"src": start})
     return _prepared[held]
 

@@ -48,6 +48,10 @@ class ChangeSet:
     snapshot_start: int
     snapshot_end: int
 
+    @property
+    def fqn(self) -> str:
+        return f"{self.catalog}.{self.schema}.{self.table}"
+
     def changes(self) -> DataFrame:
         return self.source.changes(self.snapshot_start, self.snapshot_end)
 
@@ -57,16 +61,22 @@ class ChangeSet:
 
 @dataclass(frozen=True)
 class FlushResult:
-    rows: int = 0
+    rows_inserted: int = 0
+    rows_deleted: int = 0
+    rows_updated: int = 0
 
 
-class Sink(ABC):
+class Sink(ABC, Generic[Options]):
     """Takes a view's changes: batched, once for all versions since the last flush, or else once for each."""
 
     batched = True
 
-    def __init__(self, catalog: str, table: str, schema: str = "main"):
-        self.catalog, self.table, self.schema = catalog, table, schema
+    def __init__(self, catalog: str, table: str, options: Options | None = None, schema: str = "main"):
+        self.catalog, self.table, self.options, self.schema = catalog, table, options, schema
+
+    @property
+    def fqn(self) -> str:
+        return f"{self.catalog}.{self.schema}.{self.table}"
 
     @property
     def sink_name(self) -> str:

@@ -1,14 +1,20 @@
 """Parquet tables with versions, a change feed and time travel.
 
     <root>/<catalog>/_log/<version>.json           a commit: tables touched, cursors advanced
-    <root>/<catalog>/_bases/<version>.<table>.json a full copy is ready
+    <root>/<catalog>/_marks/<number>.json          a full copy is ready, or versions are expired
+    <root>/<catalog>/_moves/<number>.json          cursors advanced without a version
     <root>/<catalog>/<schema>/<table>/changes/v=<version>/   signed rows
     <root>/<catalog>/<schema>/<table>/base/v=<version>/      full copies
 
 Versions count through a catalog. Data are written first and the log record
 last, with an exclusive create: that is the commit, for all tables and cursors
 it names at once. A record is never changed, so a reader sees whole versions
-only. Cursor moves alone make no version.
+only. Cursor moves alone make no version. Records are numbered without gaps, so
+a look for news costs one test a kind, however long the log is.
+
+A read joins the changes since the last full copy to that copy. Copies are made
+by `compact`, apart from commits, where the changes have grown to a share of
+the copy: what is copied is paid for by what was changed.
 """
 
 from __future__ import annotations
@@ -17,16 +23,16 @@ import threading
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.bag import W, applied, columns, expand, name, net, plus, signed
+from ..operators.bag import W, applied, columns, expand, matching, name, net, plus, repeated, signed
 from .files import Files
 
 INSERT, DELETE, BEFORE, AFTER = "insert", "delete", "update_preimage", "update_postimage"
-#: Versions with changes after which a table is copied whole.
-COPY_AFTER = 10
+#: A table is due for a copy when its changes since the last one hold this share of its rows, or so many versions.
+COPY_SHARE, COPY_VERSIONS = 0.2, 100
 KIND, PAIR = "_change", "_pair"
 
 
@@ -45,11 +51,21 @@ class _Table:
     changed: list[int] = field(default_factory=list)
     bases: list[int] = field(default_factory=list)
     data: dict[int, str] = field(default_factory=dict)
-    dropped: list[str] = field(default_factory=list)
-    only_inserts: set[int] = field(default_factory=set)
+    rows: dict[int, int] = field(default_factory=dict)
+    copied: dict[int, int] = field(default_factory=dict)
+    signs: dict[int, str] = field(default_factory=dict)
     expired: int = -1
 
 
+@dataclass(frozen=True)
+class Staged:
+    """Changes of a table that are written but belong to no version until a commit names them."""
+
+    path: str
+    rows: int
+    sign: str  # "+" for inserts only, "-" for deletes only, else "both"
+
+
 class Catalog:
     """A folder of versioned tables with one version counter."""
 
@@ -57,29 +73,41 @@ class Catalog:
         self.spark, self.name, self.root = spark, catalog, f"{root.rstrip('/')}/{catalog}"
         self.files, self.lock = Files(spark), threading.RLock()
         self._version, self._tables, self._cursors, self._meta = 0, {}, {}, {}
-        self._seen_bases: set[str] = set()
-        self._moves = 0
+        self._marks = self._moves = 0
 
     # -- the log ---------------------------------------------------------
     def refresh(self) -> None:
-        """Reads commits that were made since the last look."""
+        """Reads records that were made since the last look."""
+        with self.lock:
+            for record in self._new("log", self._version):
+                self._replay(record)
+            for record in self._new("marks", self._marks):
+                self._marks += 1
+                table = self._tables[record["table"]]
+                table.bases = sorted({*table.bases, record["version"]})
+                table.expired = max(table.expired, record.get("expired", -1))
+                if "rows" in record:
+                    table.copied[record["version"]] = record["rows"]
+            for record in self._new("moves", self._moves):
+                self._moves += 1
+                self._cursors.update({tuple(k): v for k, v in record["cursors"]})
+
+    def _path(self, kind: str, number: int) -> str:
+        return f"{self.root}/_{kind}/{number:012d}.json"
+
+    def _new(self, kind: str, last: int):
+        while self.files.exists(self._path(kind, last + 1)):
+            last += 1
+            yield self.files.read(self._path(kind, last))
+
+    def _record(self, kind: str, value: dict) -> None:
+        """Adds a record after all others of its kind."""
         with self.lock:
-            new = [int(n.split(".")[0]) for n in self.files.names(f"{self.root}/_log") if n.endswith(".json")]
-            for version in sorted(v for v in new if v > self._version):
-                self._replay(self.files.read(f"{self.root}/_log/{version:012d}.json"))
-            for mark in self.files.names(f"{self.root}/_bases"):
-                if mark.endswith(".json") and mark not in self._seen_bases:
-                    self._seen_bases.add(mark)
-                    record = self.files.read(f"{self.root}/_bases/{mark}")
-                    table = self._tables[record["table"]]
-                    table.bases = sorted({*table.bases, record["version"]})
-                    table.expired = max(table.expired, record.get("expired", -1))
-            for n in self.files.names(f"{self.root}/_moves"):
-                if n.endswith(".json") and int(n.split(".")[0]) > self._moves:
-                    self._moves = int(n.split(".")[0])
-                    record = self.files.read(f"{self.root}/_moves/{n}")
-                    self._cursors.update({tuple(k): v for k, v in record["cursors"]})
-                    self._meta.update(record.get("meta", {}))
+            while True:
+                self.refresh()
+                if self.files.create(self._path(kind, (self._marks if kind == "marks" else self._moves) + 1), value):
+                    self.refresh()
+                    return
 
     def _replay(self, record: dict) -> None:
         self._version = version = record["version"]
@@ -87,10 +115,11 @@ class Catalog:
             if "schema" in change:
                 self._tables[key] = _Table(change["schema"], version)
                 self._tables[key].bases.append(version)
+                self._tables[key].copied[version] = change["rows"]
             else:
                 self._tables[key].changed.append(version)
-                if change.get("only_inserts"):
-                    self._tables[key].only_inserts.add(version)
+                self._tables[key].signs[version] = change["sign"]
+                self._tables[key].rows[version] = change["rows"]
             self._tables[key].data[version] = change["path"]
         self._cursors.update({tuple(k): v for k, v in record.get("cursors", [])})
 
@@ -115,45 +144,64 @@ class Catalog:
 
     def move_cursors(self, cursors: dict[tuple, int]) -> None:
         """Advances cursors where no data change; no version is made."""
-        with self.lock:
-            while True:
-                self.refresh()
-                if self.files.create(f"{self.root}/_moves/{self._moves + 1:012d}.json", {"cursors": [[list(k), v] for k, v in cursors.items()]}):
-                    self.refresh()
-                    return
-
-    def commit(self, changes: dict[str, DataFrame], created: dict[str, DataFrame] | None = None, cursors: dict[tuple, int] | None = None) -> int:
-        """Writes signed changes and new tables as one version, with the cursors that they account for."""
+        self._record("moves", {"cursors": [[list(k), v] for k, v in cursors.items()]})
+
+    def stage(self, key: str, delta: DataFrame, onto: Staged | None = None) -> Staged:
+        """Writes signed changes for a later commit; `onto` adds to what was staged before."""
+        path = onto.path if onto else f"{self.root}/{key.replace('.', '/')}/changes/{uuid.uuid4().hex}"
+        kind = F.when(name(W) > 0, INSERT).otherwise(DELETE)
+        full = delta if KIND in delta.columns else delta.withColumn(KIND, kind).withColumn(PAIR, F.lit(None).cast("long"))
+        seen = Observation()
+        full.observe(seen, F.count("*").alias("n"), F.min(W).alias("lo"), F.max(W).alias("hi")).write.mode("append").parquet(path)
+        n, lo, hi = (seen.get[x] for x in ("n", "lo", "hi"))
+        sign = "+" if n and lo > 0 else "-" if n and hi < 0 else "both"
+        return Staged(path, n + onto.rows, sign if sign == onto.sign or not n else "both") if onto else Staged(path, n, sign)
+
+    def scratch(self, df: DataFrame, made: list[str]) -> DataFrame:
+        """The rows of `df`, written once for a cycle that reads them several times; the path is added to `made`."""
+        made.append(f"{self.root}/_scratch/{uuid.uuid4().hex}")
+        df.write.parquet(made[-1])
+        return self.spark.read.schema(df.schema).parquet(made[-1])
+
+    def commit(self, changes: dict[str, DataFrame | Staged], created: dict[str, DataFrame] | None = None, cursors: dict[tuple, int] | None = None) -> int:
+        """Writes signed changes and new tables as one version, with the cursors that they account for.
+
+        Data are written before the lock is taken. If another writer makes the
+        version first, what was written is removed again.
+        """
+        staged = {key: x if isinstance(x, Staged) else self.stage(key, x) for key, x in changes.items()}
+        written: dict[str, dict] = {}
+        for key, df in (created or {}).items():
+            path, seen = f"{self.root}/{key.replace('.', '/')}/base/{uuid.uuid4().hex}", Observation()
+            df.observe(seen, F.count("*").alias("n")).write.parquet(path)
+            written[key] = {"schema": df.schema.jsonValue(), "path": path, "rows": seen.get["n"]}
+        for key, x in staged.items():
+            if x.rows:
+                written[key] = {"path": x.path, "rows": x.rows, "sign": x.sign}
+            else:
+                self.files.remove(x.path)
         with self.lock:
             self.refresh()
-            written: dict[str, dict] = {}
-            for key, df in (created or {}).items():
-                path = f"{self.root}/{key.replace('.', '/')}/base/{uuid.uuid4().hex}"
-                df.write.parquet(path)
-                written[key] = {"schema": df.schema.jsonValue(), "path": path}
-            for key, delta in changes.items():
-                path = f"{self.root}/{key.replace('.', '/')}/changes/{uuid.uuid4().hex}"
-                kind = F.when(name(W) > 0, INSERT).otherwise(DELETE)
-                full = delta if KIND in delta.columns else delta.withColumn(KIND, kind).withColumn(PAIR, F.lit(None).cast("long"))
-                full.write.parquet(path)
-                seen = self.spark.read.parquet(path).agg(F.count("*"), F.min(W)).first()
-                if seen[0]:
-                    written[key] = {"path": path, "only_inserts": seen[1] > 0}
-                else:
-                    self.files.remove(path)
             if not written:
                 if cursors:
                     self.move_cursors(cursors)
                 return self._version
             version = self._version + 1
             record = {"version": version, "tables": written, "cursors": [[list(k), v] for k, v in (cursors or {}).items()]}
-            if not self.files.create(f"{self.root}/_log/{version:012d}.json", record):
+            if not self.files.create(self._path("log", version), record):
+                for x in written.values():
+                    self.files.remove(x["path"])
                 raise CommitConflict(f"version {version} of {self.name}")
             self.refresh()
-        for key in changes:
-            self.table(key).copy_if_due()
         return version
 
+    def compact(self) -> list[str]:
+        """Copies the tables that are due for it; returns their keys."""
+        due = [t for t in map(self.table, self.tables()) if t.copy_due()]
+        for t in due:
+            t.copy()
+        return [t.key for t in due]
+
     def table(self, key: str, schema: str = "main") -> VersionedTable:
         return VersionedTable(self, key if "." in key else f"{schema}.{key}")
 
@@ -221,19 +269,21 @@ class VersionedTable:
         rows = self._read(self._base_path(base))
         if self.changed_in(base + 1, version):
             delta = self.delta(base + 1, version)
-            if all(v in self._meta.only_inserts for v in self.changed_in(base + 1, version)):
-                return rows.union(expand(delta))
-            return applied(rows, delta)
+            return rows.union(expand(delta)) if self.signs(base + 1, version) == {"+"} else applied(rows, delta)
         return rows
 
-    def delta(self, start: int, end: int) -> DataFrame:
-        """Net signed changes of versions start to end, both included."""
+    def signs(self, start: int, end: int) -> set[str]:
+        """What the versions of a range hold: "+" inserts only, "-" deletes only, or "both"."""
+        return {self._meta.signs[v] for v in self.changed_in(start, end)}
+
+    def delta(self, start: int, end: int, raw: bool = False) -> DataFrame:
+        """Net signed changes of versions start to end, both included; changes of one sign, and raw ones, are not summed up by row."""
         self._check_range(start, end)
         versions = self.changed_in(start, end)
         if not versions:
             return signed(self.catalog.spark.createDataFrame([], self.schema))
-        parts = [self._read(self._meta.data[v], changes=True).drop(KIND, PAIR) for v in versions]
-        return net(plus(parts))
+        parts = plus([self._read(self._meta.data[v], changes=True).drop(KIND, PAIR) for v in versions])
+        return parts if raw or self.signs(start, end) in ({"+"}, {"-"}) else net(parts)
 
     def changes(self, start: int, end: int) -> DataFrame:
         """The change feed: (snapshot_id, change_id, change_type, columns), a row per copy of a row.
@@ -246,7 +296,7 @@ class VersionedTable:
         shape = [F.lit(0).cast("long").alias("snapshot_id"), F.lit(None).cast("long").alias("change_id"), F.lit("").alias("change_type")]
         out = self.catalog.spark.createDataFrame([], self.schema).select(*shape, "*")
         for v in self.changed_in(start, end):
-            rows = self._read(self._meta.data[v], changes=True).withColumn("_copy", F.explode(F.array_repeat(F.lit(True), F.abs(W).cast("int"))))
+            rows = repeated(self._read(self._meta.data[v], changes=True), F.abs(W))
             out = out.union(rows.select(F.lit(v).cast("long"), name(PAIR), name(KIND), *[name(c) for c in self.schema.names]))
         return out
 
@@ -271,7 +321,7 @@ class VersionedTable:
         """Takes away one copy for each row given, as far as there are copies."""
         wanted = net(signed(self._shaped(rows)))
         on = [name(c) for c in self.schema.names]
-        held = net(signed(self.as_of()))
+        held = net(signed(matching(self.as_of(), wanted.select(*on))))
         both = plus([held.select(*on, F.struct(name(W).alias("held"), F.lit(0).cast("long").alias("wanted")).alias("x")), wanted.select(*on, F.struct(F.lit(0).cast("long").alias("held"), name(W).alias("wanted")).alias("x"))])
         found = both.groupBy(*on).agg((-F.least(F.sum("x.held"), F.sum("x.wanted"))).alias(W))
         return self.apply(found)
@@ -290,20 +340,20 @@ class VersionedTable:
         return self.catalog.commit({self.key: rows})
 
     # -- upkeep ----------------------------------------------------------
-    def copy_if_due(self) -> None:
-        if len(self.changed_in(self._meta.bases[-1] + 1, self.catalog._version)) >= COPY_AFTER:
-            self.copy()
+    def copy_due(self) -> bool:
+        """Whether the changes since the last copy have grown to a share of it."""
+        meta, last = self._meta, self._meta.bases[-1]
+        later = [v for v in meta.changed if v > last]
+        return bool(later) and (len(later) >= COPY_VERSIONS or sum(meta.rows[v] for v in later) >= COPY_SHARE * max(1, meta.copied.get(last, 0)))
 
     def copy(self) -> int:
         """Writes the table whole at the latest version, so that reads need fewer changes."""
-        with self.catalog.lock:
-            version = self.catalog.latest_version()
-            if version not in self._meta.bases:
-                path = f"{self.catalog.root}/{self.key.replace('.', '/')}/base/v={version}"
-                self.as_of(version).write.mode("overwrite").parquet(path)
-                self.catalog.files.create(f"{self.catalog.root}/_bases/{version:012d}.{self.key}.json", {"table": self.key, "version": version})
-                self.catalog.refresh()
-            return version
+        version = self.catalog.latest_version()
+        if version not in self._meta.bases:
+            path, seen = f"{self.catalog.root}/{self.key.replace('.', '/')}/base/v={version}", Observation()
+            self.as_of(version).observe(seen, F.count("*").alias("n")).write.mode("overwrite").parquet(path)
+            self.catalog._record("marks", {"table": self.key, "version": version, "rows": seen.get["n"]})
+        return version
 
     def expire(self, before: int) -> None:
         """Gives up versions older than `before`: their changes and full copies go."""
@@ -314,8 +364,7 @@ class VersionedTable:
                 return
             keep = held[-1]
             gone = [v for v in meta.changed if v < before and v <= keep]
-            self.catalog.files.create(f"{self.catalog.root}/_bases/{before:012d}.{self.key}.{uuid.uuid4().hex}.json", {"table": self.key, "version": keep, "expired": max([meta.expired, *gone])})
-            self.catalog.refresh()
+            self.catalog._record("marks", {"table": self.key, "version": keep, "expired": max([meta.expired, *gone])})
             for b in held[:-1]:
                 self.catalog.files.remove(self._base_path(b))
                 meta.bases.remove(b)
@@ -323,4 +372,4 @@ class VersionedTable:
                 self.catalog.files.remove(meta.data[v])
 
 
-__all__ = ["AFTER", "BEFORE", "DELETE", "INSERT", "Catalog", "CommitConflict", "VersionError", "VersionedTable", "columns"]
+__all__ = ["AFTER", "BEFORE", "DELETE", "INSERT", "Catalog", "CommitConflict", "Staged", "VersionError", "VersionedTable", "columns"]
