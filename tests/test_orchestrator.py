@@ -5,10 +5,12 @@ from pyspark.sql import functions as F
 
 from tidemark.cli import main
 from tidemark.functions.upkeep import pending_maintenance, safe_to_expire
+from tidemark.operators.bag import signed
 from tidemark.orchestrator import CatalogNotFoundError, CyclicDependencyError, MissingColumnError, MissingTableError, Orchestrator
 from tidemark.project import InvalidSetupError, MissingCatalogsError, MissingSetupError, MVCompilationError, load_directory
 from tidemark.sources.plugins import Effector, FlushResult, Sink, Source, SyncResult
-from tidemark.streaming.watch import maintain_on_change, watch
+from tidemark.sources.versioned import Catalog
+from tidemark.streaming.watch import change_stream, maintain_on_change, watch
 
 ORDERS = [(1, 100, "east"), (2, 200, "west"), (3, 150, "east")]
 TOTALS = "SELECT region, SUM(amount) AS total FROM orders GROUP BY region"
@@ -179,3 +181,67 @@ def test_projects_and_command_line(spark, tmp_path, capsys):
     (tmp_path / "bad" / "setup.py").write_text("def catalogs():\n    return {}")
     with pytest.raises(MissingCatalogsError):
         load_directory(spark, tmp_path / "bad")
+
+
+def test_a_stream_sees_committed_versions_only(spark, tmp_path):
+    catalog = Catalog(spark, "dl", str(tmp_path / "data"))
+    table = catalog.create("orders", spark.createDataFrame(ORDERS, "id int, amount int, region string"))
+    table.insert(spark.createDataFrame([(4, 1, "east")], "id int, amount int, region string"))
+    catalog.stage("main.orders", signed(spark.createDataFrame([(99, 1, "lost")], "id int, amount int, region string")))  # never committed
+    seen = []
+
+    def run(fail=False):
+        def handle(changes, start, end):
+            seen.extend((r.change_type, r.id) for r in changes.collect())
+            if fail:
+                raise RuntimeError("stop")
+
+        change_stream(table, "copy", str(tmp_path / "ck"), handle, available_now=True).awaitTermination(60)
+
+    run()
+    assert seen == [("insert", 4)]
+    table.delete_where("id = 1")
+    catalog.create("other", spark.createDataFrame([(1,)], "x int"))
+    seen.clear()
+    with pytest.raises(Exception, match="stop"):
+        run(fail=True)
+    run()
+    assert seen == [("delete", 1)] * 2  # again after the failure
+    run()
+    assert len(seen) == 2
+
+
+def test_output_and_cursor_of_an_effector_are_one_commit(spark, tmp_path, monkeypatch):
+    o = Orchestrator(spark)
+    catalog = o.add_catalog("dl", str(tmp_path))
+    orders = catalog.create("orders", spark.createDataFrame(ORDERS, "id int, amount int, region string"))
+    o.add_effector(Store("dl", "orders", "made"))
+    o.initialize()
+    orders.insert(spark.createDataFrame([(k, 50, "east") for k in range(10, 15)], "id int, amount int, region string"))
+    monkeypatch.setattr("tidemark.orchestrator.OUTPUT_ROWS", 2)
+    create = catalog.files.create
+    monkeypatch.setattr(catalog.files, "create", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError, match="lost"):
+        o.flush_effectors()
+    assert catalog.table("made").as_of().count() == 0
+    monkeypatch.setattr(catalog.files, "create", create)
+    before = catalog.latest_version()
+    assert o.flush_effectors()["Store_orders"].rows_inserted == 5
+    assert catalog.latest_version() == before + 1 and catalog.table("made").as_of().count() == 5
+    assert o.flush_effectors()["Store_orders"].rows_inserted == 0
+
+
+def test_a_name_in_a_literal_or_a_column_is_no_dependency(spark, made):
+    made.add_ivm("dl", "other", "SELECT id AS totals, 'FROM big' AS big FROM orders WHERE region <> 'totals'")
+    assert made._reads("dl.main.other") == set() and made._reads("dl.main.big") == {"dl.main.totals"}
+    assert made.levels() == [["dl.main.other", "dl.main.totals"], ["dl.main.big"]]
+
+
+def test_verify_compiles_views_that_wait_for_no_source(spark, made):
+    made.add_source(Fill("dl", "names", 7))
+    made.add_ivm("dl", "named", "SELECT name FROM names")
+    made.verify()
+    assert set(made.views) == {"dl.main.totals"}  # names and totals are not there yet
+    made.add_ivm("dl", "bad", "SELECT nope FROM orders")
+    with pytest.raises(MissingColumnError):
+        made.verify()

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.plans.view import FULL, UnsupportedSQLError, compile_ivm
+from tidemark.plans.view import FULL, UnsupportedSQLError, compile_ivm, tables_named
 from tidemark.sources.versioned import Catalog
 
 SCHEMA = "k int, v int, s string, d int"
@@ -98,3 +98,64 @@ def test_incremental_aggregate_reads_no_base_table_again(spark, tmp_path):
     changes = view._incremental(old, {"dl": now}, [("dl", "main.t")], [])
     plans = "".join(d._jdf.queryExecution().optimizedPlan().toString() + " ".join(d.inputFiles()) for d in changes.values())
     assert catalog.table("t")._base_path(1) not in plans
+
+
+EXTREMES = [
+    "SELECT s, MIN(d) AS lo, MAX(d) AS hi, MIN(s) AS first, COUNT(*) AS n FROM r GROUP BY s",
+    "SELECT MIN(v) AS lo, MAX(d) AS hi, COUNT(*) AS n, SUM(v) AS total, AVG(v) AS mean FROM r",
+    "SELECT MAX(a.d) AS hi, MIN(b.d) AS lo, COUNT(*) AS n FROM r a JOIN q b ON a.k = b.k",
+]
+
+
+@pytest.mark.parametrize("sql", EXTREMES)
+def test_extremes_are_merged_through_deletes_and_an_empty_table(spark, tmp_path, sql):
+    """Rows with and without an extreme go, some come and go within a cycle, all go, and some come again."""
+    catalog = Catalog(spark, "dl", str(tmp_path))
+    first = [(1, 1, "a", 5), (1, 2, "a", 1), (2, 3, "a", 9), (2, None, "b", 4), (1, 1, "b", 4), (None, 1, None, 7)]
+    for t in ("r", "q"):
+        catalog.create(t, spark.createDataFrame(first, SCHEMA))
+    view = compile_ivm(sql, spark=spark, catalogs={"dl": catalog})
+    assert view.strategy == "incremental" and view._parts()[2] is not None
+    view.create()
+    rounds = [
+        (["s = 'a' AND d = 5"], [(1, 4, "a", 3)]),
+        (["d = 9 OR d = 1"], []),
+        ([], [(1, 4, "a", 99)]),
+        (["d = 99"], [(7, 7, "z", 0), (7, 7, "z", 8)]),
+        (["true"], []),
+        ([], [(1, 1, "a", 2), (1, 5, None, 6)]),
+    ]
+    for gone, come in rounds:
+        if come:
+            catalog.table("r").insert(spark.createDataFrame([*come, (3, 3, "a", -50)], SCHEMA))
+            catalog.table("r").delete_where("d = -50")
+        for condition in gone:
+            catalog.table("r").delete_where(condition)
+        view.maintain()
+        assert bag(view.query_mv()) == bag(view.recompute()), (gone, come)
+    assert catalog.files.names(f"{catalog.root}/_scratch") == []
+
+
+def test_global_aggregate_reads_no_base_table_again(spark, tmp_path):
+    catalog = Catalog(spark, "dl", str(tmp_path))
+    catalog.create("t", spark.createDataFrame([(i % 3, i) for i in range(30)], "g int, v int"))
+    view = compile_ivm("SELECT SUM(v) AS s, MAX(v) AS hi, COUNT(*) AS n FROM t", spark=spark, catalogs={"dl": catalog})
+    view.create()
+    catalog.scratch = lambda df, made: df
+    for change in (lambda t: t.insert(spark.createDataFrame([(1, 5)], "g int, v int")), lambda t: t.delete_where("v = 3")):
+        old, now = view.cursors(), change(catalog.table("t"))
+        changes = view._incremental(old, {"dl": now}, [("dl", "main.t")], [])
+        plans = "".join(d._jdf.queryExecution().optimizedPlan().toString() + " ".join(d.inputFiles()) for d in changes.values())
+        assert catalog.table("t")._base_path(1) not in plans
+        view.catalog.commit(changes, cursors={view._cursor("dl"): now})
+
+
+def test_names_are_taken_from_the_parsed_query(spark, tmp_path):
+    found = tables_named(spark, "WITH own AS (SELECT a FROM t) SELECT 'FROM lit' AS x, own.a AS col FROM own JOIN dl.main.u ON EXISTS (SELECT 1 FROM s.v WHERE v.a IN (SELECT b FROM w)) -- FROM comment")
+    assert found == {("t",), ("dl", "main", "u"), ("s", "v"), ("w",)}
+    assert tables_named(spark, "SELEC 1") is None
+    catalog = Catalog(spark, "dl", str(tmp_path))
+    catalog.create("t", spark.createDataFrame([(1, "dl.main.t")], "a int, s string"))
+    view = compile_ivm("SELECT a FROM dl.main.t WHERE s = 'dl.main.t'", spark=spark, catalogs={"dl": catalog})
+    view.create()
+    assert view.query_mv().count() == 1

@@ -123,73 +123,6 @@ class Orchestrator:
                 out.add(other)
         return out
 
-    def levels(self) -> list[list[Step]]:
-        out: list[list[Step]] = [[] for _ in range(max((s.level for s in self.steps), default=-1) + 1)]
-        for s in self.steps:
-            out[s.level].append(s)
-        return out
-
-
-class Orchestrator:
-    def __init__(self, spark: SparkSession, naming: type[Naming] = Naming):
-        self.spark, self.naming = spark, naming
-        self.catalogs: dict[str, Catalog] = {}
-        self.sources: list[Source] = []
-        self.sinks: list[Sink] = []
-        self.effectors: list[Effector] = []
-        self.specs: dict[str, dict] = {}
-        self.views: dict[str, MaterializedView] = {}
-        self._one = ThreadPoolExecutor(1)
-
-    # -- registration --------------------------------------------------------
-    def setup_extensions(self, run) -> None:
-        """Lets a project prepare the session (jars, functions)."""
-        run(self.spark)
-
-    def setup_secrets(self, run) -> None:
-        """Lets a project set credentials in the session."""
-        run(self.spark)
-
-    def add_catalog(self, name: str, root: str | Catalog) -> Catalog:
-        self.catalogs[name] = root if isinstance(root, Catalog) else Catalog(self.spark, name, root)
-        return self.catalogs[name]
-
-    def add_source(self, source: Source) -> None:
-        self.sources.append(source)
-
-    def add_sink(self, sink: Sink) -> None:
-        self.sinks.append(sink)
-
-    def add_effector(self, effector: Effector) -> None:
-        self.effectors.append(effector)
-
-    def add_ivm(self, catalog: str, name: str, view_sql: str, schema: str = "main", sources: dict[str, dict] | None = None, strategy: str | None = None) -> None:
-        """Registers a view; it is compiled when what it reads exists."""
-        key = f"{catalog}.{schema}.{name}"
-        if key in self.specs:
-            raise OrchestratorError(f"{key} is registered twice")
-        self.specs[key] = {"name": name, "view_sql": view_sql, "mv_catalog": catalog, "mv_schema": schema, "sources": sources, "strategy": strategy}
-
-    # -- dependencies ----------------------------------------------------------
-    def _reads(self, key: str) -> set[str]:
-        """Registered views that a view mentions, before anything is compiled."""
-        import re
-
-        spec, out = self.specs[key], set()
-        for other, s in self.specs.items():
-            if other == key:
-                near = rf"(?<![\w.])`?{re.escape(s['name'])}`?(?![\w.(])"
-                if re.search(rf"\b(from|join)\s+{near}", spec["view_sql"], re.I):
-                    out.add(other)
-                continue
-            full = re.escape(f"{s['mv_schema']}.{s['name']}")
-            visible = spec["mv_catalog"] == s["mv_catalog"] and s["mv_schema"] in ("main", spec["mv_schema"])
-            mapped = (spec["sources"] or {}).get(s["name"], {})
-            named = mapped.get("catalog") == s["mv_catalog"] and mapped.get("schema", "main") == s["mv_schema"]
-            if re.search(rf"(?<![\w]){full}(?!\w)", spec["view_sql"]) or ((visible or named) and re.search(rf"(?<![\w.])`?{re.escape(s['name'])}`?(?![\w(])", spec["view_sql"], re.I)):
-                out.add(other)
-        return out
-
     def levels(self) -> list[list[str]]:
         """Views in topological levels; those of a level do not read each other."""
         left = {k: self._reads(k) for k in self.specs}
