@@ -27,6 +27,10 @@ from .textbytes import mix, small_batches, whole_text
 SHARE = (4, 5)
 #: Shingles of one comparison of a group; a larger group is cut into parts, and each two parts are compared together.
 GROUP_SHINGLES = 4_000_000
+#: Bits of the sketches that candidate pairs are compared by before their texts are.
+SKETCH_BITS = 4096
+#: Nodes up to which their list is broadcast to the texts; beyond, texts are shuffled to it.
+BROADCAST_NODES = 500_000
 #: Texts of the sample that tells which shingles are common, how often one must stand in it, and how many are kept at most.
 #: The order only saves work; any order gives the same links.
 SAMPLE_TEXTS, COMMON, COMMON_KEPT = 20_000, 4, 200_000
@@ -46,9 +50,9 @@ def prefix_size(n: int) -> int:
     return n - -(-n * SHARE[0] // SHARE[1]) + 1 if n else 0
 
 
-def parity(members: np.ndarray) -> np.ndarray:
-    """256 bits, each set if an odd number of members fall on it; two sets differ in as many members as bits, or more."""
-    odd = np.bincount((members & np.uint64(255)).astype(np.int64), minlength=256) & 1
+def parity(members: np.ndarray, bits: int = 256) -> np.ndarray:
+    """So many bits, each set if an odd number of members fall on it; two sets differ in as many members as bits, or more."""
+    odd = np.bincount((members & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
@@ -80,10 +84,35 @@ def _prints(docs: DataFrame, words: int, lanes: int, carry: list[str]) -> DataFr
 
 
 def _texts(prints: DataFrame, of: DataFrame) -> DataFrame:
-    """One text of each node in `of`, with the columns of `of`."""
+    """One text of each node in the stored table `of`, with the columns of `of`."""
+    of = F.broadcast(of) if of.count() <= BROADCAST_NODES else of
     return prints.select("node", "text").join(of, "node").dropDuplicates(["node"])
 
 
+def sketched(prints: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """The stored pairs (a, b) that may be near copies by the parity of SKETCH_BITS classes of their shingles; none that is one is lost."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, words) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([parity(x, SKETCH_BITS).tobytes() for x in sets], pa.binary())], ["node", "n", "sketch"])
+
+    ends = saved(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "pair_ends")
+    made = saved(_texts(prints, ends).select("node", "text").mapInArrow(sketch, "node long, n long, sketch binary"), "sketches")
+    sides = pairs.join(made.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s")), "a").join(made.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("t")), "b")
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            s, t = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u8").reshape(batch.num_rows, -1) for k in (4, 5))
+            differ = np.bitwise_count(s ^ t).sum(1, dtype=np.int64)
+            total = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            yield batch.select([0, 1]).filter(pa.array(differ * sum(SHARE) <= total * (SHARE[1] - SHARE[0])))
+
+    return sides.select("a", "b", "n_a", "n_b", "s", "t").mapInArrow(close, "a long, b long")
+
+
 def linked_in_groups(prints: DataFrame, sizes: DataFrame, groups: DataFrame, words: int) -> DataFrame:
     """Stars (a, b) that join all near copies inside each group (node, component)."""
     total = groups.join(sizes, "node").groupBy("component").agg(F.sum("n").alias("total"))
@@ -182,7 +211,9 @@ def linked_between(prints: DataFrame, nodes: DataFrame, groups: DataFrame, words
     close = distance(4, "a_p", "b_p") * sum(SHARE) <= total * (SHARE[1] - SHARE[0])
     pair = (c("a_token") == c("b_token")) & (c("a_node") < c("b_node")) & (c("a_component") != c("b_component")) & (most * sum(SHARE) >= total * SHARE[0]) & close & (F.least("a_n", "b_n") * SHARE[1] >= F.greatest("a_n", "b_n") * SHARE[0])
     pairs = saved(a.join(b.hint("merge"), pair).select(c("a_node").alias("a"), c("b_node").alias("b")).distinct(), "pairs")
-    ends = saved(_texts(prints, pairs.select(c("a").alias("node")).union(pairs.select(c("b").alias("node"))).distinct()), "pair_texts")
+    pairs = saved(sketched(prints, pairs, words), "close_pairs")
+    ends = saved(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "close_ends")
+    ends = saved(_texts(prints, ends), "pair_texts")
     sides = pairs.join(ends.select(c("node").alias("a"), c("text").alias("s")), "a").join(ends.select(c("node").alias("b"), c("text").alias("t")), "b")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
