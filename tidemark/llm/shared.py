@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import re
 import tempfile
+import time
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
+#: Seconds between two times that the driver gives freed memory back.
+TRIM_EVERY = 5.0
+_trimmed = 0.0
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; where that is unset, a temporary one on a single machine and an error on a cluster."""
@@ -24,4 +30,18 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """The rows of `df`, written once and read back; later failures restart from the files."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    trim_driver(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def trim_driver(spark: SparkSession) -> None:
+    """Lets the driver's JVM give freed native memory back to the system; a chain of many jobs leaves it scattered over its threads' heaps."""
+    global _trimmed
+    if time.monotonic() - _trimmed < TRIM_EVERY:
+        return
+    _trimmed, jvm = time.monotonic(), spark._jvm
+    try:
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        server.invoke(jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap", None, None)
+    except Py4JError:  # a JVM without that command
+        pass
