@@ -39,9 +39,13 @@ def trim_driver(spark: SparkSession) -> None:
     global _trimmed
     if time.monotonic() - _trimmed < TRIM_EVERY:
         return
-    _trimmed, jvm = time.monotonic(), spark._jvm
+    _trimmed, jvm, new = time.monotonic(), spark._jvm, spark.sparkContext._gateway.new_array
     try:
-        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
-        server.invoke(jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap", None, None)
+        # called through the public interface, as the server's own class is closed to reflection
+        (call,) = (m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        args = new(jvm.java.lang.Object, 4)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        args[2], args[3] = new(jvm.java.lang.Object, 0), new(jvm.java.lang.String, 0)
+        call.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
     except Py4JError:  # a JVM without that command
         pass
