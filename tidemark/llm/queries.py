@@ -28,7 +28,7 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import hex16, near_duplicates
 
-    found = near_duplicates(_documents(spark, sf_dir), words=4, max_distance=4, segments=3)
+    found = near_duplicates(_documents(spark, sf_dir), words=4, max_distance=4)
     return found.select("doc_id", hex16("f0").alias("fingerprint"), "component_id")
 
 
