@@ -157,12 +157,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, f
     """(text, label) of at most `rows` labelled documents outside the held-out fold, picked by hash of the id.
 
     The picked ids have a fixed bound, so they are broadcast against the documents.
-    Null ids and null labels are left out; of several labels for an id the largest holds.
+    Null ids and null labels are left out; of several labels for an id the largest holds,
+    of several texts the least.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where("doc_id is not null and label is not null and label in (0, 1)")
     known = known.where(id_crc() % fold != 0).groupBy("doc_id").agg(F.max("label").alias("label"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(picked), "doc_id").select("text", "label")
+    return docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("text", "label")
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Trees:
