@@ -69,11 +69,20 @@ def test_dense_links_join_all_that_are_close(spark):
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
     nodes = spark.createDataFrame([(k, s) for k, s in enumerate(signed)], "node long, f0 long")
     want = groups(range(len(values)), [(a, b) for a in range(len(values)) for b in range(a) if (values[a] ^ values[b]).bit_count() <= 4])
-    for dense in (512, 4):
-        links = [tuple(r) for r in simhash.similar(nodes, 1, 4, 3, dense=dense).collect()]
+    assert [simhash.layout(n, d) for n, d in ((1000, 4), (1 << 30, 4), (9, 0))] == [(3, 1), (2, 2), (2, 1)]
+    for dense, (segments, radius) in ((512, (3, 1)), (4, (3, 1)), (512, (2, 2)), (4, (2, 2))):
+        links = [tuple(r) for r in simhash.similar(nodes, 1, 4, segments, radius, dense=dense).collect()]
         assert groups(range(len(values)), links) == want
 
 
+def test_labelled_sample_is_bounded_by_ids(spark):
+    from tidemark.llm.quality_trees import labelled_sample
+
+    docs = spark.createDataFrame([(k % 5, f"text {k}") for k in range(100)] + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(5)] * 2, "doc_id long, quality int, toxic int")
+    assert labelled_sample(docs, labels, "quality", 20).count() <= 5
+
+
 def test_wide_lanes_search_dense_buckets(spark):
     rng = random.Random(6)
     base = [rng.getrandbits(64) for _ in range(4)]
