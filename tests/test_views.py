@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.plans.view import FULL, UnsupportedSQLError, compile_ivm, tables_named
+from tidemark.plans.view import FULL, Naming, UnsupportedSQLError, compile_ivm, tables_named
 from tidemark.sources.versioned import Catalog
 
 SCHEMA = "k int, v int, s string, d int"
@@ -159,3 +159,31 @@ def test_names_are_taken_from_the_parsed_query(spark, tmp_path):
     view = compile_ivm("SELECT a FROM dl.main.t WHERE s = 'dl.main.t'", spark=spark, catalogs={"dl": catalog})
     view.create()
     assert view.query_mv().count() == 1
+
+
+class Other(Naming):
+    def mv_table(self):
+        return f"mv_{self.view}"
+
+    def state_table(self):
+        return f"_state_hidden_{self.view}"
+
+    def cursors_table(self):
+        return "my_cursors"
+
+    def aux_column(self, purpose):
+        return f"aux_{purpose}"
+
+
+def test_names_chosen_by_a_project(spark, tmp_path):
+    catalog = Catalog(spark, "dl", str(tmp_path))
+    catalog.create("t", spark.createDataFrame([(i % 3, i) for i in range(30)], "g int, v int"))
+    view = compile_ivm("SELECT g, SUM(v) AS s, MIN(v) AS lo, COUNT(v) AS n FROM t GROUP BY g", spark=spark, catalogs={"dl": catalog}, name="sums", naming=Other("sums"))
+    view.create()
+    catalog.table("t").delete_where("v < 4")
+    view.maintain()
+    assert catalog.tables() == ["main._state_hidden_sums", "main.mv_sums", "main.t"]
+    assert all(c.startswith("aux_") for c in catalog.table("_state_hidden_sums").as_of().columns)
+    assert bag(view.query_mv()) == bag(view.recompute())
+    view.show_cursors()
+    assert spark.table("my_cursors").first()["last_snapshot"] == catalog.table("t").catalog.cursors()[view._cursor("dl")]

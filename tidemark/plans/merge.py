@@ -82,6 +82,12 @@ class Mergeable:
     def group(self) -> list[str]:
         return [f"g{i}" for i in range(max(1, len(self.keys)))]
 
+    @property
+    def columns(self) -> list[str]:
+        """The columns of the state."""
+        kept = {"Sum": "s", "Average": "s", "Min": "m", "Max": "m"}
+        return [*self.group, "n", *(f"{x}{i}" for i, p in enumerate(self.parts) for x in (kept.get(p.kind), "k") if x)]
+
     def _prepared(self, rows: DataFrame, child) -> DataFrame:
         """Group values, inputs and weight of signed rows of the node's child."""
         c = self.catalyst

@@ -32,7 +32,11 @@ class UnsupportedSQLError(ValueError):
 
 
 class Naming:
-    """Names of what a view keeps; subclasses may choose others."""
+    """Names of what a view keeps; subclasses may choose others.
+
+    Cursors are kept in the log of the view's catalog; `cursors_table` names the
+    temporary view that `MaterializedView.show_cursors` makes of them.
+    """
 
     def __init__(self, view: str):
         self.view = view
@@ -104,6 +108,13 @@ class MaterializedView:
         held = self.catalog.cursors()
         return {c: held[self._cursor(c)] for c in sorted(set(self.base_tables.values()))}
 
+    def show_cursors(self) -> DataFrame:
+        """(mv_name, source_catalog, last_snapshot) of this view, also as a temporary view under the name that `naming` gives."""
+        rows = [(self.name, source, at) for source, at in self.cursors().items()]
+        df = self.spark.createDataFrame(rows, "mv_name string, source_catalog string, last_snapshot long")
+        df.createOrReplaceTempView(self.naming.cursors_table())
+        return df
+
     @property
     def exists(self) -> bool:
         return self.catalog.has(self.key)
@@ -129,6 +140,10 @@ class MaterializedView:
 
         return leaf
 
+    def _state_names(self, merge: Mergeable) -> list[str]:
+        """The names under which the columns of the hidden state are stored."""
+        return [self.naming.aux_column(c) for c in merge.columns]
+
     def recompute(self, versions: dict[str, int] | None = None) -> DataFrame:
         """The view's SQL over its base tables at some versions (by default now)."""
         versions = versions or self._now()
@@ -147,7 +162,7 @@ class MaterializedView:
         if merge:
             child = c.children(merge.plan)[0]
             rows = c.frame(c.rewritten(child, lambda x: c.bound(self._at(c, now)(x), c.output(x))))
-            made[self.state_key] = merge.initial(rows, child)
+            made[self.state_key] = merge.initial(rows, child).select(*merge.columns).toDF(*self._state_names(merge))
         self.catalog.commit({}, made, {self._cursor(k): v for k, v in now.items()})
 
     def pending_by_source(self) -> dict[str, int]:
@@ -218,8 +233,9 @@ class MaterializedView:
                     touched = groups.toDF(*[f"k{i}" for i in range(len(keys))])
                     return self.catalog.scratch(c.frame(rules._only(rules.state(child, rules.new), child, keys, touched)), scratch)
 
-                moved = net(merge.advance(self.catalog.table(self.state_key).as_of(), step, child, again))
-                out[self.state_key] = moved
+                state = self.catalog.table(self.state_key).as_of().toDF(*merge.columns)
+                moved = net(merge.advance(state, step, child, again))
+                out[self.state_key] = moved.toDF(*self._state_names(merge), W)
                 rules.known.append((merge.plan, merge.rows(moved)))
         delta = rules.of(plan)
         if delta is None:
