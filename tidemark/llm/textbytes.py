@@ -131,7 +131,8 @@ def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
-def put_words(texts: list[str]) -> np.ndarray:
-    """The hash that ``span_hash`` gives to each whole text."""
-    data, offsets = flat(pa.array(texts, pa.string()))
-    return span_hash(prefix_hash(data), offsets[:-1], offsets[1:])
+def put_bytes(words: list[bytes]) -> np.ndarray:
+    """The hash that ``span_hash`` gives to each word."""
+    ends = np.cumsum([len(w) for w in words])
+    data = np.frombuffer(b"".join(words), np.uint8)
+    return span_hash(prefix_hash(data), ends - np.array([len(w) for w in words]), ends)

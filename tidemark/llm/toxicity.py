@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality_trees import labelled_sample
-from .textbytes import ALNUM, LOWER, NOT_SPACE, blocks, id_crc, mix, prefix_hash, small_batches, span_hash, whole_text, word_spans
+from .textbytes import ALNUM, LOWER, NOT_SPACE, blocks, id_crc, mix, prefix_hash, put_bytes, small_batches, span_hash, whole_text, word_spans
 
 #: Labelled rows that the lexicon is fitted on, at most; scoring covers every row.
 SAMPLE_ROWS = 8_000
@@ -228,11 +228,11 @@ def spread(data: np.ndarray, offsets: np.ndarray, words: set[bytes]) -> list[tup
     Separators, within a token and between tokens, are skipped and runs collapsed;
     where a word then begins, its tokens are taken, unless it is written plainly.
     """
-    sought: dict[int, set[bytes]] = {}
+    forms = sorted({x for w in words for x in skeletons(w) if len(x) > 1})
+    sought = {n: np.sort(put_bytes([x for x in forms if len(x) == n])) for n in sorted({len(x) for x in forms})}
     pairs = np.zeros(1 << 16, bool)
-    for word in {x for w in words for x in skeletons(w) if len(x) > 1}:
-        sought.setdefault(len(word), set()).add(word)
-        pairs[word[0] << 8 | word[1]] = True
+    pairs[[x[0] << 8 | x[1] for x in forms]] = True
+    known = set(forms)
     raw = data.tobytes()
     loose = np.zeros(len(data) + 1, bool)
     loose[offsets] = True
@@ -248,10 +248,12 @@ def spread(data: np.ndarray, offsets: np.ndarray, words: set[bytes]) -> list[tup
         begin = np.flatnonzero(pairs[line[:-1].astype(np.int64) << 8 | line[1:]])
         first = at[heads[begin]]
         begin = begin[loose[first] | ~(_LETTER | (np.arange(256) >= 128))[data[first - 1]]]
-        skeleton = line.tobytes()
-        for k in begin.tolist():
-            for size, group in sought.items():
-                if skeleton[k : k + size] in group:
+        skeleton, sums = line.tobytes(), prefix_hash(line)
+        for size, group in sought.items():
+            some = begin[begin + size <= len(line)]
+            h = span_hash(sums, some, some + size)
+            for k in some[group[np.minimum(np.searchsorted(group, h), len(group) - 1)] == h].tolist():
+                if skeleton[k : k + size] in known:
                     lo, hi = int(at[heads[k]]), int(at[heads[k + size] - 1 if k + size < len(heads) else -1]) + 1
                     i = int(np.searchsorted(offsets, lo, "right")) - 1
                     if hi <= offsets[i + 1] and raw[lo:hi] not in words:
@@ -310,19 +312,25 @@ class ToxicityModel:
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return np.where(self.hashes[at] == hashes, at, -1)
 
-    def hidden(self, segment: str) -> np.ndarray:
-        """Lexicon entries in the decoded segment."""
-        found = self.memo.get(segment)
-        if found is None:
-            data = np.frombuffer(decode(segment, self.characters).encode(), np.uint8)
-            starts, ends, _ = word_spans(data, np.array([0, len(data)]), NOT_SPACE)
-            found = self.find(word_features(data, starts, ends)[0])
-            found = found[found >= 0]
-            if len(self.memo) >= MEMO_LIMIT:
-                self.memo.clear()
-            if len(segment) <= 64:
-                self.memo[segment] = found
-        return found
+    def hidden(self, segments: list[str]) -> list[np.ndarray]:
+        """Lexicon entries in each segment, decoded; segments not seen before are decoded one by one and looked up together."""
+        new = [x for x in dict.fromkeys(segments) if x not in self.memo]
+        found: dict[str, np.ndarray] = {}
+        if new:
+            texts = [decode(x, self.characters).encode() for x in new]
+            data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+            starts, ends, firsts = word_spans(data, offsets, NOT_SPACE)
+            hashes, words = word_features(data, starts, ends)
+            entry = self.find(hashes)
+            hit = np.flatnonzero(entry >= 0)
+            of = np.repeat(np.arange(len(new)), np.diff(firsts))[words[hit]]
+            order = np.argsort(of, kind="stable")
+            found = dict(zip(new, np.split(entry[hit][order], np.searchsorted(of[order], np.arange(1, len(new)))), strict=True))
+        out = [found[x] if x in found else self.memo[x] for x in segments]
+        if len(self.memo) + len(new) > MEMO_LIMIT:
+            self.memo.clear()
+        self.memo.update((x, found[x]) for x in new[:MEMO_LIMIT] if len(x) <= 64)
+        return out
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(score, lexicon entries found plainly, entries restored) for each text of a block."""
@@ -333,11 +341,11 @@ class ToxicityModel:
         hashes, words = word_features(low, starts, ends)
         hit = self.find(hashes)
         plain = of[words[hit >= 0]] * k + hit[hit >= 0]
-        raw, more = low.tobytes(), []
+        raw = low.tobytes()
         segments = list(zip(*(x.tolist() for x in suspicious(low, offsets)), strict=True))
-        for text, start, end in united(segments + spread(low, offsets, {w.encode() for w in self.words})):
-            more += [text * k + w for w in self.hidden(raw[start:end].decode("utf-8", "replace")).tolist()]
-        restored = np.array(more, np.int64)
+        segments = united(segments + spread(low, offsets, {w.encode() for w in self.words}))
+        entries = self.hidden([raw[start:end].decode("utf-8", "replace") for _, start, end in segments])
+        restored = np.concatenate([np.zeros(0, np.int64), *(text * k + x for (text, _, _), x in zip(segments, entries, strict=True) if len(x))])
         keys, times = np.unique(np.concatenate([plain, restored]), return_counts=True)
         odds = np.full(n, self.rest)
         if len(keys):
