@@ -20,13 +20,15 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shared import saved
-from .simhash import distance, majority, meetings, shingle_hashes, similar
-from .textbytes import mix, small_batches, whole_text
+from .simhash import distance, majority, meetings, similar
+from .textbytes import LOWER, NOT_SPACE, blocks, mix, prefix_hash, small_batches, span_hash, whole_text, word_spans
 
 #: Sets are near copies if they share this part of their union: numerator, denominator.
 SHARE = (4, 5)
 #: Shingles of one comparison of a group; a larger group is cut into parts, and each two parts are compared together.
 GROUP_SHINGLES = 4_000_000
+#: What chains the hashes of the words of a shingle.
+_STEP = np.uint64(0x9FB21C651E98DF25)
 #: Bits of the sketches that candidate pairs are compared by before their texts are.
 SKETCH_BITS = 4096
 #: Nodes up to which their list is broadcast to the texts; beyond, texts are shuffled to it.
@@ -36,8 +38,34 @@ BROADCAST_NODES = 500_000
 SAMPLE_TEXTS, COMMON, COMMON_KEPT = 20_000, 4, 200_000
 
 
-def shingle_set(text: bytes, words: int) -> np.ndarray:
-    return np.unique(shingle_hashes(text, words))
+def shingle_lists(texts: pa.Array | pa.ChunkedArray, words: int) -> list[np.ndarray]:
+    """Of each text, a 64-bit hash of every run of `words` words, repeats included; a shorter text is one run.
+
+    Words are what white space leaves, in lower case; all texts of a block are hashed at once.
+    """
+    out: list[np.ndarray] = []
+    for part in texts.chunks if isinstance(texts, pa.ChunkedArray) else [texts]:
+        for _, _, data, offsets in blocks(part):
+            low = LOWER[data]
+            starts, ends, firsts = word_spans(low, offsets, NOT_SPACE)
+            word = span_hash(prefix_hash(low), starts, ends)
+            runs = max(0, len(word) - words + 1)
+            whole = word[:runs]
+            for k in range(1, words):
+                whole = mix(whole * _STEP + word[k : k + runs])
+            for a, b in zip(firsts[:-1].tolist(), firsts[1:].tolist(), strict=True):
+                if b - a >= words:
+                    out.append(whole[a : b - words + 1])
+                else:
+                    short = word[a : min(a + 1, b)]
+                    for k in range(a + 1, b):
+                        short = mix(short * _STEP + word[k])
+                    out.append(short)
+    return out
+
+
+def shingle_sets(texts: pa.Array | pa.ChunkedArray, words: int) -> list[np.ndarray]:
+    return [np.unique(x) for x in shingle_lists(texts, words)]
 
 
 def alike(both: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray | bool:
@@ -71,8 +99,7 @@ def _prints(docs: DataFrame, words: int, lanes: int, carry: list[str]) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.zeros((batch.num_rows, len(names)), np.int64)
-            for row, text in zip(out, batch.column(1).to_pylist(), strict=True):
-                h = shingle_hashes(text, words)
+            for row, h in zip(out, shingle_lists(batch.column(1), words), strict=True):
                 own = np.unique(h)
                 row[0] = np.uint64(xxhash.xxh64_intdigest(own.tobytes())).view(np.int64)
                 row[1], row[2:6] = len(own), parity(own)
@@ -94,7 +121,7 @@ def sketched(prints: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t, words) for t in batch.column(1).to_pylist()]
+            sets = shingle_sets(batch.column(1), words)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([parity(x, SKETCH_BITS).tobytes() for x in sets], pa.binary())], ["node", "n", "sketch"])
 
     ends = saved(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "pair_ends")
@@ -121,7 +148,7 @@ def linked_in_groups(prints: DataFrame, sizes: DataFrame, groups: DataFrame, wor
 
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("node").to_numpy()
-        sets = [shingle_set(t, words) for t in table.column("text").to_pylist()]
+        sets = shingle_sets(table.column("text"), words)
         size = np.array([len(x) for x in sets])
         members, flat = np.unique(np.concatenate(sets), return_inverse=True)
         edge = np.concatenate([[0], np.cumsum(size)])
@@ -169,7 +196,7 @@ def common_shingles(prints: DataFrame, words: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t, words) for t in batch.column(0).to_pylist()]
+            sets = shingle_sets(batch.column(0), words)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], ["token"])
 
     sample = prints.where(F.pmod(F.xxhash64("node"), F.lit(step)) == 0).dropDuplicates(["node"]).select("text")
@@ -192,7 +219,7 @@ def linked_between(prints: DataFrame, nodes: DataFrame, groups: DataFrame, words
 
     def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [first_members(shingle_set(t, words), common.value) for t in batch.column(1).to_pylist()]
+            sets = [first_members(x, common.value) for x in shingle_sets(batch.column(1), words)]
             size = [len(x) for x in sets]
             place = np.concatenate([np.zeros(0, np.int64), *(np.arange(k) for k in size)])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), size)), pa.array(place)], ["token", "node", "at"])
@@ -218,10 +245,8 @@ def linked_between(prints: DataFrame, nodes: DataFrame, groups: DataFrame, words
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = shingle_set(s, words), shingle_set(t, words)
-                keep.append(bool(alike(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))))
+            sides = zip(shingle_sets(batch.column(2), words), shingle_sets(batch.column(3), words), strict=True)
+            keep = [bool(alike(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))) for x, y in sides]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return sides.select("a", "b", "s", "t").mapInArrow(verified, "a long, b long")
