@@ -126,7 +126,7 @@ def test_licences(spark, docs, nothing):
     found = {r["doc_id"]: r["license_id"] for r in scan(spark.createDataFrame(made, "doc_id int, text string")).collect()}
     assert found == {1: "MIT", 2: "MIT", 3: None, 4: None, 5: "MIT", 6: "MIT"}
     # every known text is found again in other words' clothes, and so is a text that a caller brings
-    worn = [(k, "Copyright 2019 The Authors\n" + t.upper().replace("LICENSE", "LICENCE").replace(". ", ".\n\n  * ")) for k, (_, t) in enumerate(KNOWN)]
+    worn = [(k, "Copyright 2019 The Authors\n" + t.upper().replace(" LICENSE", " LICENCE").replace("SUBLICENSE", "SUBLICENCE").replace(". ", ".\n\n  * ")) for k, (_, t) in enumerate(KNOWN)]
     found = {r["doc_id"]: r["license_id"] for r in scan(spark.createDataFrame(worn, "doc_id int, text string")).collect()}
     assert found == {k: i for k, (i, _) in enumerate(KNOWN)}
     own = scan(spark.createDataFrame([(1, "My own TERMS."), (2, mit)], "doc_id int, text string"), known=[("own", "my own terms"), ("zero", "")])

@@ -15,7 +15,7 @@ from .textbytes import whole_text
 
 #: Spellings that licence matching guidelines hold to be equal.
 EQUIVALENT = {
-    "licence": "license", "licences": "licenses", "licenced": "licensed", "licencing": "licensing", "sub license": "sublicense", "sub licence": "sublicense", "acknowledgement": "acknowledgment", "authorisation": "authorization", "authorised": "authorized", "favour": "favor", "honour": "honor",
+    "licence": "license", "licences": "licenses", "licenced": "licensed", "licencing": "licensing", "sub license": "sublicense", "sub licence": "sublicense", "sublicence": "sublicense", "acknowledgement": "acknowledgment", "authorisation": "authorization", "authorised": "authorized", "favour": "favor", "honour": "honor",
     "organisation": "organization", "recognised": "recognized", "whilst": "while", "wilful": "willful", "merchantibility": "merchantability", "non infringement": "noninfringement", "per cent": "percent", "copyright owner": "copyright holder", "copyright owners": "copyright holders",
 }
 #: Marks beyond ASCII that count as punctuation.
