@@ -14,6 +14,7 @@ from ..operators.bag import W, minus, net
 from ..sources.versioned import Catalog, VersionedTable
 from .catalyst import Catalyst
 from .delta import Deltas, netted
+from .factor import CHANGED, NEW, Factors
 from .merge import Mergeable
 
 INCREMENTAL, FULL = "incremental", "full_refresh"
@@ -157,13 +158,31 @@ class MaterializedView:
     def create(self, at: dict[str, int] | None = None) -> None:
         """Computes the view (at some versions of its sources, by default now) and stores it, its hidden state and its cursors as one version."""
         now = at or self._now()
-        c, _, merge = self._parts()
-        made = {self.key: self.recompute(now)}
-        if merge:
-            child = c.children(merge.plan)[0]
-            rows = c.frame(c.rewritten(child, lambda x: c.bound(self._at(c, now)(x), c.output(x))))
-            made[self.state_key] = merge.initial(rows, child).select(*merge.columns).toDF(*self._state_names(merge))
-        self.catalog.commit({}, made, {self._cursor(k): v for k, v in now.items()})
+        c, plan, merge = self._parts()
+        leaf, scratch, made = self._at(c, now), [], {}
+        factors = Factors.of(merge, Deltas(c, leaf, leaf, lambda x: None)) if merge else None
+        try:
+            if factors:
+                # a row a group; it is written, as the state and the view both come from it
+                state = self.catalog.scratch(factors.sums(NEW).select(*merge.columns), scratch)
+                made[self.key] = c.frame(self._above(c, plan, merge, merge.rows(state))).toDF(*self.names)
+            else:
+                made[self.key] = self.recompute(now)
+            if merge:
+                child = c.children(merge.plan)[0]
+                if not factors:
+                    state = merge.initial(c.frame(c.rewritten(child, lambda x: c.bound(leaf(x), c.output(x)))), child).select(*merge.columns)
+                made[self.state_key] = state.toDF(*self._state_names(merge))
+            self.catalog.commit({}, made, {self._cursor(k): v for k, v in now.items()})
+        finally:
+            for path in scratch:
+                self.catalog.files.remove(path)
+
+    def _above(self, c: Catalyst, plan, merge: Mergeable, rows: DataFrame):
+        """The plan with the rows of its aggregate in place of it."""
+        if plan == merge.plan:
+            return c.bound(rows, c.output(plan))
+        return c.with_children(plan, [self._above(c, c.children(plan)[0], merge, rows)])
 
     def pending_by_source(self) -> dict[str, int]:
         """For each source catalog, its versions since the cursor that changed a base table."""
@@ -218,10 +237,12 @@ class MaterializedView:
         out: dict[str, DataFrame] = {}
         if merge:
             child = c.children(merge.plan)[0]
-            delta = rules.of(child)
-            if delta is not None:
+            factors = Factors.of(merge, rules)
+            delta = None if factors else rules.of(child)
+            step = factors.sums(CHANGED) if factors else merge.step(delta, child) if delta is not None else None
+            if step is not None:
                 # a row a group; it is written, as the state and the view both come from it
-                step = self.catalog.scratch(merge.step(delta, child), scratch)
+                step = self.catalog.scratch(step, scratch)
 
                 def again(groups: DataFrame) -> DataFrame | None:
                     groups = self.catalog.scratch(groups, scratch)
