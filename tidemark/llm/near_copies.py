@@ -5,7 +5,7 @@ union; each link is verified on the sets, and none is missed. SimHash groups
 come first: inside each, all pairs are compared, which joins the large groups of
 copies. What is still apart is completed by a prefix filter: under one order of
 all shingles, two sets that are similar enough share a shingle among the first
-few of both. Shingles found often in a sample come last in that order.
+few of both. Shingles found often in a fixed share of the texts come last there.
 """
 
 from __future__ import annotations
@@ -33,9 +33,10 @@ _STEP = np.uint64(0x9FB21C651E98DF25)
 SKETCH_BITS = 4096
 #: Nodes up to which their list is broadcast to the texts; beyond, texts are shuffled to it.
 BROADCAST_NODES = 500_000
-#: Texts of the sample that tells which shingles are common, how often one must stand in it, and how many are kept at most.
+#: One text in so many tells which shingles are common, whatever the number of texts, as a sample of fixed size lets
+#: lists of shingles that pass for rare grow with the corpus; how often one must stand in it, and how many are kept at most.
 #: The order only saves work; any order gives the same links.
-SAMPLE_TEXTS, COMMON, COMMON_KEPT = 20_000, 4, 200_000
+SAMPLE_STEP, COMMON, COMMON_KEPT = 4, 3, 1_000_000
 
 
 def shingle_lists(texts: pa.Array | pa.ChunkedArray, words: int) -> list[np.ndarray]:
@@ -192,16 +193,20 @@ def linked_in_groups(prints: DataFrame, sizes: DataFrame, groups: DataFrame, wor
 
 def common_shingles(prints: DataFrame, words: int) -> np.ndarray:
     """Hashes of shingles that stand in many texts of a sample, sorted; their number is bounded."""
-    step = max(1, prints.count() // SAMPLE_TEXTS)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_sets(batch.column(0), words)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], ["token"])
 
-    sample = prints.where(F.pmod(F.xxhash64("node"), F.lit(step)) == 0).dropDuplicates(["node"]).select("text")
-    often = sample.mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("k")).where(F.col("k") >= COMMON)
-    found = often.orderBy(F.desc("k"), "token").limit(COMMON_KEPT).select("token").toArrow()
+    sample = prints.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLE_STEP)) == 0).dropDuplicates(["node"]).select("text")
+    often = saved(sample.mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("k")).where(F.col("k") >= COMMON), "common")
+    least, total = 0, 0
+    for k, n in sorted(((x["k"], x["n"]) for x in often.groupBy("k").agg(F.count("*").alias("n")).collect()), reverse=True):
+        total += n
+        if total > COMMON_KEPT:
+            break
+        least = k
+    found = often.where(F.col("k") >= least).select("token").toArrow() if least else pa.table({"token": pa.array([], pa.int64())})
     return np.sort(found.column("token").to_numpy().view(np.uint64))
 
 
