@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.bag import W, minus, net
 from ..sources.versioned import Catalog, VersionedTable
@@ -18,6 +19,10 @@ from .factor import CHANGED, NEW, Factors
 from .merge import Mergeable
 
 INCREMENTAL, FULL = "incremental", "full_refresh"
+#: What a view stores: its rows, or the sides of its joins, of which its rows are made when it is read.
+ROWS, SIDES = "rows", "sides"
+#: Parts that the left rows of a key are dealt into where a large join is made when it is read; the right rows go to each.
+SHARES = 4
 _ABOVE = {"Project", "Filter", "Sort", "SubqueryAlias"}
 _JOINS = {"Inner": "join", "Cross": "join", "LeftOuter": "left_join", "RightOuter": "right_join", "FullOuter": "full_join"}
 _AGGREGATES = {"Sum": "sum", "Count": "count", "Average": "avg", "Min": "min", "Max": "max"}
@@ -61,6 +66,8 @@ class MaterializedView:
 
     base_tables maps the keys of the tables read (schema.table) to their
     catalogs; strategy is "incremental" or "full_refresh", with the reason.
+    A view stored as sides has no table of its rows: no change feed, and no view
+    over it.
     """
 
     spark: SparkSession
@@ -79,6 +86,7 @@ class MaterializedView:
     _leaves: dict[str, tuple[str, str]] = field(repr=False)
     _bindings: dict[str, tuple[str, str]] = field(repr=False)
     inner_mvs: list = field(default_factory=list)
+    stored: str = ROWS
 
     # -- addresses ---------------------------------------------------------
     @property
@@ -116,9 +124,12 @@ class MaterializedView:
         df.createOrReplaceTempView(self.naming.cursors_table())
         return df
 
+    def side_key(self, i: int) -> str:
+        return f"{self.state_key}_{i}"
+
     @property
     def exists(self) -> bool:
-        return self.catalog.has(self.key)
+        return self.catalog.has(self.side_key(0) if self.stored == SIDES else self.key)
 
     # -- plans ---------------------------------------------------------------
     def _parts(self):
@@ -130,6 +141,22 @@ class MaterializedView:
         merge = Mergeable.of(c, at) if self.strategy == INCREMENTAL else None
         return c, self._plan, merge
 
+    def _side_names(self, c: Catalyst, side) -> list[str]:
+        return [self.naming.aux_column(f"c{k}") for k in range(len(c.output(side)))]
+
+    def _joined(self, c: Catalyst) -> DataFrame:
+        """The rows of the plan over the stored sides of its joins."""
+        place = iter(range(len(_sides(c, self._plan))))
+
+        def put(node):
+            if not _joins(c, node):
+                return c.bound(self.catalog.table(self.side_key(next(place))).as_of(), c.output(node))
+            made = c.with_children(node, [put(x) for x in c.children(node)])
+            lone = c.kind(node) == "Join" and not any(_joins(c, x) for x in c.children(node))
+            return _dealt(c, made) if lone else made
+
+        return c.frame(put(self._plan)).toDF(*self.names)
+
     def _leaf(self, c: Catalyst, leaf) -> tuple[VersionedTable, list[str]]:
         catalog, key = self._leaves[_folder(c.root_path(leaf))]
         return self.catalogs[catalog].table(key), [a.name() for a in c.output(leaf)]
@@ -162,7 +189,10 @@ class MaterializedView:
         leaf, scratch, made = self._at(c, now), [], {}
         factors = Factors.of(merge, Deltas(c, leaf, leaf, lambda x: None)) if merge else None
         try:
-            if factors:
+            if self.stored == SIDES:
+                rules = Deltas(c, leaf, leaf, lambda x: None)
+                made = {self.side_key(i): rules.state(x, leaf).toDF(*self._side_names(c, x)) for i, x in enumerate(_sides(c, plan))}
+            elif factors:
                 # a row a group; it is written, as the state and the view both come from it
                 state = self.catalog.scratch(factors.sums(NEW).select(*merge.columns), scratch)
                 made[self.key] = c.frame(self._above(c, plan, merge, merge.rows(state))).toDF(*self.names)
@@ -233,6 +263,10 @@ class MaterializedView:
                 deltas[table.fqn] = table.delta(old[table.catalog.name] + 1, new[table.catalog.name], raw=True)
             return deltas[table.fqn].select(*[f"`{n}`" for n in names], W)
 
+        if self.stored == SIDES:
+            rules = Deltas(c, self._at(c, old), self._at(c, new), changed)
+            moved = [(i, x, rules.of(x)) for i, x in enumerate(_sides(c, plan))]
+            return {self.side_key(i): netted(delta, self._side_names(c, x)) for i, x, delta in moved if delta is not None}
         rules = Deltas(c, self._at(c, old), self._at(c, new), changed, stored=self.table.as_of(), root=plan)
         out: dict[str, DataFrame] = {}
         if merge:
@@ -265,7 +299,7 @@ class MaterializedView:
 
     def query_mv(self) -> DataFrame:
         """The view's rows."""
-        return self.table.as_of()
+        return self._joined(Catalyst(self.spark)) if self.stored == SIDES else self.table.as_of()
 
 
 #: String literals of Spark's SQL, which no name is looked for in.
@@ -298,6 +332,38 @@ def tables_named(spark: SparkSession, sql: str) -> set[tuple[str, ...]] | None:
     return found
 
 
+def _joins(c: Catalyst, node) -> bool:
+    """Whether a join stands at or below a node."""
+    return any(c.kind(x) == "Join" for x in c.nodes(node))
+
+
+def _sides(c: Catalyst, plan) -> list:
+    """The largest parts of a plan that hold no join, from left to right."""
+    return [x for child in c.children(plan) for x in _sides(c, child)] if _joins(c, plan) else [plan]
+
+
+def _dealt(c: Catalyst, join):
+    """A join of two large tables, dealt out by its keys and a share of the left rows to as many tasks as a shuffle has.
+
+    What such a join makes can outgrow by far what it reads, so tasks are not put
+    together by the size of their input, and the rows of a key are not one task's.
+    """
+    keys, sides, conf = c.equi_keys(join), c.children(join), c.spark._jsparkSession.sessionState().conf()
+    frames = [c.frame(x) for x in sides]
+    if not keys or not keys[0] or join.joinType().toString() not in {"Inner", "LeftOuter", "LeftSemi", "LeftAnti"}:
+        return join
+    if min(int(c.optimized(df).stats().sizeInBytes()) for df in frames) <= conf.autoBroadcastJoinThreshold():
+        return join
+    left = frames[0].withColumn(W, F.pmod(F.xxhash64(*frames[0].columns), F.lit(SHARES)).cast("int"))
+    right = frames[1].withColumn(W, F.explode(F.array(*[F.lit(i) for i in range(SHARES)])))
+    bound = [c.bound(df, c.output(x)) for df, x in zip((left, right), sides, strict=True)]
+    share, some = [c.output(x)[-1] for x in bound], c.jvm.scala.Option
+    tasks = some.apply(conf.numShufflePartitions())
+    dealt = [c._logical.RepartitionByExpression(c.seq([*k, w]), x, tasks, some.empty()) for k, w, x in zip(keys, share, bound, strict=True)]
+    on = c._expressions.And(join.condition().get(), c._expressions.EqualTo(*share))
+    return c.project(c.output(join), c._logical.Join(*dealt, join.joinType(), some.apply(on), join.hint()))
+
+
 def _folder(path: str) -> str:
     return re.sub(r"^file:/+", "/", path).rstrip("/")
 
@@ -412,11 +478,14 @@ def compile_ivm(
     mv_schema: str = "main",
     sources: dict[str, dict] | None = None,
     strategy: str | None = None,
+    stored: str = ROWS,
 ) -> MaterializedView:
     """Compiles a view over tables of `catalogs`.
 
     sources: for tables that are not in the view's own catalog,
     {table: {"catalog": ..., "schema": ...}}. strategy="full_refresh" forces that path.
+    stored="sides" is for joins whose rows outnumber by far those that they join: the
+    sides are kept up, and joined when the view is read.
     """
     c = Catalyst(spark)
     bindings = _bindings(catalogs, mv_catalog, mv_schema, sources)
@@ -454,9 +523,12 @@ def compile_ivm(
         reason = "folded_relation"
     elif "map" in " ".join(t for _, t in df.dtypes).split("<")[0:1]:
         reason = "map_column"
+    above = {c.kind(n) for n in c.nodes(plan) if _joins(c, n)}
+    if stored == SIDES and (reason or not above or not above <= {"Join", "Project", "Filter"}):
+        raise UnsupportedSQLError("stored_sides", "only joins under projections and filters are stored as their sides")
     features = _features(c, analysed, expressions, view_sql)
     if reason:
         features.add("full_refresh")
     return MaterializedView(
-        spark, catalogs, view_sql, name, mv_catalog, mv_schema, naming or Naming(name), {key: cat for cat, key in sorted(used)}, features, FULL if reason else INCREMENTAL, reason, names, plan, folders, {n: at for n, at in mentioned.items() if at in used}
+        spark, catalogs, view_sql, name, mv_catalog, mv_schema, naming or Naming(name), {key: cat for cat, key in sorted(used)}, features, FULL if reason else INCREMENTAL, reason, names, plan, folders, {n: at for n, at in mentioned.items() if at in used}, stored=stored
     )
