@@ -31,6 +31,8 @@ GROUP_SHINGLES = 4_000_000
 _STEP = np.uint64(0x9FB21C651E98DF25)
 #: Bits of the sketches that candidate pairs are compared by before their texts are.
 SKETCH_BITS = 4096
+#: 64-bit parts of the sketches that stand beside each node; half of their bits differ where sets differ in as many members.
+PARTS = 16
 #: Nodes up to which their list is broadcast to the texts; beyond, texts are shuffled to it.
 BROADCAST_NODES = 500_000
 #: One text in so many tells which shingles are common, whatever the number of texts, as a sample of fixed size lets
@@ -79,7 +81,7 @@ def prefix_size(n: int) -> int:
     return n - -(-n * SHARE[0] // SHARE[1]) + 1 if n else 0
 
 
-def parity(members: np.ndarray, bits: int = 256) -> np.ndarray:
+def parity(members: np.ndarray, bits: int = 64 * PARTS) -> np.ndarray:
     """So many bits, each set if an odd number of members fall on it; two sets differ in as many members as bits, or more."""
     odd = np.bincount((members & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
@@ -92,10 +94,10 @@ def row_digest() -> Column:
 
 
 def _prints(docs: DataFrame, words: int, lanes: int, carry: list[str]) -> DataFrame:
-    """(doc_id, node, n, p0..p3, f0, ..., text, row, carried): hash, size and parity of the shingle set, and fingerprint lanes."""
+    """(doc_id, node, n, p0, ..., f0, ..., text, row, carried): hash, size and parity of the shingle set, and fingerprint lanes."""
     carried = F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")
     rows = docs.select("doc_id", whole_text().cast("binary").alias("text"), row_digest().alias("row"), carried)
-    names = ["node", "n", *(f"p{k}" for k in range(4)), *(f"f{k}" for k in range(lanes))]
+    names = ["node", "n", *(f"p{k}" for k in range(PARTS)), *(f"f{k}" for k in range(lanes))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,8 +105,8 @@ def _prints(docs: DataFrame, words: int, lanes: int, carry: list[str]) -> DataFr
             for row, h in zip(out, shingle_lists(batch.column(1), words), strict=True):
                 own = np.unique(h)
                 row[0] = np.uint64(xxhash.xxh64_intdigest(own.tobytes())).view(np.int64)
-                row[1], row[2:6] = len(own), parity(own)
-                row[6:] = np.array([majority(mix(h + np.uint64(k)) if k else h) for k in range(lanes)], np.uint64).view(np.int64)
+                row[1], row[2 : 2 + PARTS] = len(own), parity(own)
+                row[2 + PARTS :] = np.array([majority(mix(h + np.uint64(k)) if k else h) for k in range(lanes)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in out.T), *batch.columns[1:]], ["doc_id", *names, "text", "row", "carried"])
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
@@ -218,6 +220,17 @@ def first_members(own: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.concatenate([own[~last], own[last]])[: prefix_size(len(own))]
 
 
+def one_of_each_list(shared: DataFrame) -> DataFrame:
+    """Of the shingles that stand for the same nodes, the rows (token, node, ...) of the least; rows are distinct.
+
+    A passage that two texts have in common gives as many shingles as it has words, and
+    each would make the same pairs; one of them makes them all. What a pair is held to
+    holds at each shingle that both share, so it does not matter which one stays.
+    """
+    held = shared.groupBy("token").agg(F.count("*").alias("n"), *[F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in range(2)])
+    return shared.join(held.groupBy("n", "x0", "x1").agg(F.min("token").alias("token")).select("token"), "token", "left_semi")
+
+
 def linked_between(prints: DataFrame, nodes: DataFrame, groups: DataFrame, words: int) -> DataFrame:
     """Links (a, b) of all near copies that `groups` (node, component) does not join."""
     common = prints.sparkSession.sparkContext.broadcast(common_shingles(prints, words))
@@ -233,14 +246,15 @@ def linked_between(prints: DataFrame, nodes: DataFrame, groups: DataFrame, words
     tokens = tokens.join(groups, "node", "left").select("token", "node", "at", F.coalesce("component", "node").alias("component"))
     same = Window.partitionBy("token")
     shared = tokens.withColumn("lo", F.min("component").over(same)).withColumn("hi", F.max("component").over(same)).where("lo <> hi").drop("lo", "hi").distinct()
-    shared = saved(shared.join(nodes.select("node", "n", *[f"p{k}" for k in range(4)]), "node"), "first_shingles")
+    shared = one_of_each_list(saved(shared, "shared_shingles"))
+    shared = saved(shared.join(nodes.select("node", "n", *[f"p{k}" for k in range(PARTS)]), "node"), "first_shingles")
     a = shared.select(*[F.col(c).alias(f"a_{c}") for c in shared.columns])
     b = shared.select(*[F.col(c).alias(f"b_{c}") for c in shared.columns])
     c = F.col
     most = F.least("a_at", "b_at") + 1 + F.least(c("a_n") - c("a_at") - 1, c("b_n") - c("b_at") - 1)
     total = c("a_n") + c("b_n")
     # near copies differ in so few members at most, and so in so few bits
-    close = distance(4, "a_p", "b_p") * sum(SHARE) <= total * (SHARE[1] - SHARE[0])
+    close = distance(PARTS, "a_p", "b_p") * sum(SHARE) <= total * (SHARE[1] - SHARE[0])
     pair = (c("a_token") == c("b_token")) & (c("a_node") < c("b_node")) & (c("a_component") != c("b_component")) & (most * sum(SHARE) >= total * SHARE[0]) & close & (F.least("a_n", "b_n") * SHARE[1] >= F.greatest("a_n", "b_n") * SHARE[0])
     pairs = saved(a.join(b.hint("merge"), pair).select(c("a_node").alias("a"), c("b_node").alias("b")).distinct(), "pairs")
     pairs = saved(sketched(prints, pairs, words), "close_pairs")
@@ -260,7 +274,7 @@ def linked_between(prints: DataFrame, nodes: DataFrame, groups: DataFrame, words
 def _components(docs: DataFrame, words: int, lanes: int, segments: int, max_distance: int, carry: list[str]) -> tuple[DataFrame, DataFrame]:
     """(prints, (node, component_id, best) of each node): best is the row digest of the component's first row."""
     small_batches(docs.sparkSession)
-    f, p = [f"f{k}" for k in range(lanes)], [f"p{k}" for k in range(4)]
+    f, p = [f"f{k}" for k in range(lanes)], [f"p{k}" for k in range(PARTS)]
     prints = saved(_prints(docs, words, lanes, carry), "prints")
     first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
     each = prints.groupBy("node").agg(F.min(first).alias("first"), F.min(F.struct("n", *p, *f)).alias("x"))
