@@ -1,13 +1,16 @@
 """Operators on single texts against plain Python."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import png_columns as png
@@ -166,6 +169,39 @@ def test_language_model_equals_brute_force(docs, nothing, rows, order):
         assert score_texts(nothing).count() == 0
 
 
+def test_language_model_ships_texts_and_ngrams_once(spark, tmp_path):
+    """All that is shuffled or stored, whether or not the cleaner gets to it, stays near the size of the texts."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randint(3, 9))) for _ in range(3000)]
+    made = [(i, " ".join(words[int(3000 * rng.random() ** 2)] for _ in range(300))) for i in range(1200)]
+    spark.createDataFrame(made, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/docs")
+    context, folder = spark.sparkContext, Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+
+    def stages():
+        found = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(spark._jvm.double, 0), None)
+        return {found.apply(k).stageId(): found.apply(k).shuffleWriteBytes() for k in range(found.size())}
+
+    last, old = max(stages(), default=-1), set(folder.glob("*/*.parquet"))
+    assert len(score_texts(spark.read.parquet(f"{tmp_path}/docs"), chunk_bytes=1 << 19).collect()) == len(made)
+    shuffled = sum(n for k, n in stages().items() if k > last)
+    stored = sum(f.stat().st_size for f in set(folder.glob("*/*.parquet")) - old)
+    assert 0 < shuffled + stored < 2.5 * sum(len(t) for _, t in made)
+
+
+def test_language_model_chunks():
+    """Chunks hold every row once, in order, and are cut by size inside and across batches."""
+    from tidemark.llm.backoff_lm import chunks_of, pack_table, unpack_table
+
+    texts = ["", "a" * 50, None, "b" * 400, "c", "d" * 90, *["e" * 10] * 40, "", "f" * 99]
+    table = pa.table({"doc_id": pa.array(range(len(texts))), "text": pa.array(texts)})
+    for rows, size in itertools.product((1, 3, 100), (1, 150, 1 << 20)):
+        chunks = [unpack_table(pack_table(c)) for c in chunks_of(iter(table.to_batches(max_chunksize=rows)), size)]
+        assert pa.concat_tables(chunks).to_pydict() == table.to_pydict()
+        assert all(len(c) == 1 or sum(len(t or "") + 16 for t in c.column("text").to_pylist()) <= size for c in chunks)
+        assert size < 1 << 20 or len(chunks) == 1
+    assert list(chunks_of(iter([]), 10)) == []
+
+
 def test_packing():
     for x in ([], [0], [5, 2**63, 1], list(range(1000))):
         a = np.array(x, np.uint64)

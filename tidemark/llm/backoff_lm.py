@@ -14,12 +14,13 @@ e is the share of words seen once (Good and Turing's estimate of what has not
 been seen), m the strength of the backoff. A text is one left-to-right pass that
 carries the state and adds up the logs of the arcs taken.
 
-The model is never gathered in one place. Texts are dealt into chunks; a chunk
-sends its distinct n-grams, sorted by hash and packed by hash range (a shard),
-with its training counts; each shard adds up the counts of all chunks and sends
-every chunk the totals of just what it asked for; the chunk builds its part of
-the automaton from them and traverses its texts. A frequent n-gram is one entry
-a chunk, so no key is hot.
+The model is never gathered in one place. Texts are packed into chunks where they
+are read; a chunk sends its distinct n-grams, sorted by hash and packed by hash
+range (a shard), with its training counts; each shard adds up the counts of all
+chunks and sends every chunk the totals of just what it asked for, in the order it
+asked; the chunk finds its n-grams again, builds its part of the automaton and
+traverses its texts. A frequent n-gram is one entry a chunk, so no key is hot.
+The n-grams travel once and the texts once, compressed.
 """
 
 from __future__ import annotations
@@ -30,14 +31,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import saved
-from .textbytes import LOWER, NOT_SPACE, blocks, id_crc, mix, prefix_hash, small_batches, span_hash, total_bytes, whole_text, word_spans
+from .textbytes import LOWER, NOT_SPACE, blocks, flat, id_crc, mix, prefix_hash, small_batches, span_hash, total_bytes, whole_text, word_spans
 
 #: Bytes of text in one chunk, about.
 CHUNK = 16 << 20
+#: Bytes of one row group of stored chunks, which are some MB each; the writer looks at its size after every chunk.
+STORE = {"parquet.block.size": CHUNK, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
 #: Words of the longest n-grams, and backoff strength m.
 ORDER, STRENGTH = 2, 300.0
 #: States that are no n-gram.
@@ -65,6 +69,38 @@ def unpack(blob: bytes) -> np.ndarray:
     return out.view("<u8").ravel().astype(np.uint64)
 
 
+def pack_table(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as out:
+        out.write_table(table.combine_chunks())
+    return sink.getvalue().to_pybytes()
+
+
+def unpack_table(blob: bytes) -> pa.Table:
+    with pa.ipc.open_stream(blob) as stream:
+        return stream.read_all()
+
+
+def chunks_of(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """Consecutive rows of whole texts of about `size` bytes together, 16 more counted for each; a longer text is a chunk of its own."""
+    held, room = [], size
+    for batch in batches:
+        ends, lo = flat(batch.column("text"))[1] + 16 * np.arange(len(batch) + 1), 0
+        while lo < len(batch):
+            hi = int(np.searchsorted(ends, ends[lo] + room, "right")) - 1
+            if hi == lo and not held:
+                hi += 1
+            if hi > lo:
+                held.append(batch.slice(lo, hi - lo))
+            room -= int(ends[hi] - ends[lo])
+            lo = hi
+            if lo < len(batch) or room <= 0:
+                yield pa.Table.from_batches(held)
+                held, room = [], size
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of the tokens of a block, first token of each text and the end): words, then one END a text."""
     low = LOWER[data]
@@ -223,17 +259,22 @@ def score_texts(docs: DataFrame, train: Column | None = None, order: int = ORDER
     rows = docs.select("doc_id", train.alias("train"), whole_text().alias("text"))
     chunks = max(1, -(-total_bytes(docs) // chunk_bytes))
     shards = max(1, min(4096, 2 * chunks))
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
-    def ask(chunk: pa.Table) -> pa.Table:
-        keys, counts = _requests(chunk, order)
-        edges = [(k << (KEY_BITS + 2)) // shards for k in range(1, shards)]
-        cuts = [0, *np.searchsorted(keys, np.array(edges, np.uint64)).tolist(), len(keys)]
-        out = [(k, a, b) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
-        name = chunk.column("chunk")[0].as_py()
-        packed = [pack(np.diff(keys[a:b], prepend=np.uint64(0))) for _, a, b in out]
-        return pa.table({"shard": pa.array([k for k, _, _ in out], pa.int32()), "chunk": pa.array([name] * len(out), pa.int32()), "keys": pa.array(packed, pa.binary()), "counts": pa.array([pack(counts[a:b]) for _, a, b in out], pa.binary())})
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 32
+        for k, chunk in enumerate(chunks_of(batches, chunk_bytes)):
+            yield pa.record_batch({"chunk": pa.array([first + k], pa.int64()), "texts": pa.array([pack_table(chunk)], pa.binary())})
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = np.array([(k << (KEY_BITS + 2)) // shards for k in range(1, shards)], np.uint64)
+        for batch in batches:
+            for name, texts in zip(batch.column("chunk").to_pylist(), batch.column("texts"), strict=True):
+                keys, counts = _requests(unpack_table(texts.as_buffer()), order)
+                cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
+                out = [(k, a, b) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
+                packed = [pack(np.diff(keys[a:b], prepend=np.uint64(0))) for _, a, b in out]
+                yield pa.record_batch({"shard": pa.array([k for k, _, _ in out], pa.int32()), "chunk": pa.array([name] * len(out), pa.int64()), "keys": pa.array(packed, pa.binary()), "counts": pa.array([pack(counts[a:b]) for _, a, b in out], pa.binary())})
 
     def answer(asked: pa.Table) -> pa.Table:
         names = asked.column("chunk").to_pylist()
@@ -251,21 +292,26 @@ def score_texts(docs: DataFrame, train: Column | None = None, order: int = ORDER
         n = len(names)
         facts = {"tokens": int(words.sum()), "distinct": int((words > 0).sum()), "once": int((words == 1).sum())}
         return pa.table(
-            {"chunk": pa.array(names, pa.int32()), "shard": pa.array([asked.column("shard")[0].as_py()] * n, pa.int32()), "keys": pa.array([pack(np.diff(k, prepend=np.uint64(0))) for k in keys], pa.binary()), "totals": pa.array([pack(x) for x in np.split(total, sizes)], pa.binary())}
+            {"chunk": pa.array(names, pa.int64()), "shard": pa.array([asked.column("shard")[0].as_py()] * n, pa.int32()), "totals": pa.array([pack(x) for x in np.split(total, sizes)], pa.binary())}
             | {k: pa.array([v] + [0] * (n - 1), pa.int64()) for k, v in facts.items()}
         )
 
-    asked = dealt.groupBy("chunk").applyInArrow(ask, "shard int, chunk int, keys binary, counts binary")
-    answers = saved(asked.groupBy("shard").applyInArrow(answer, "chunk int, shard int, keys binary, totals binary, tokens long, distinct long, once long"), "ngram_counts")
+    # a chunk is written before it asks, so that the answers meet the same chunk; small partitions are read together to make whole ones
+    dealt = saved(rows.coalesce(chunks).mapInArrow(deal, "chunk long, texts binary"), "ngram_texts", **STORE)
+    asked = dealt.mapInArrow(ask, "shard int, chunk long, keys binary, counts binary")
+    answers = saved(asked.groupBy("shard").applyInArrow(answer, "chunk long, shard int, totals binary, tokens long, distinct long, once long"), "ngram_counts")
     sums = answers.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "distinct", "once")]).first()
     texts = docs.select(F.count_if(train).alias("n")).first()["n"]
     totals = Totals(sums["tokens"], sums["distinct"], sums["once"], texts)
     base_low = np.log10(totals.tokens + totals.distinct + 1)
 
-    def score(chunk: pa.Table, replies: pa.Table) -> pa.Table:
-        by_shard = np.argsort(replies.column("shard").to_numpy())
-        keys, counts = replies.column("keys").to_pylist(), replies.column("totals").to_pylist()
-        model = Automaton(np.concatenate([np.cumsum(unpack(keys[i]), dtype=np.uint64) for i in by_shard]), np.concatenate([unpack(counts[i]).astype(np.int64) for i in by_shard]), totals, strength, order) if len(by_shard) else Automaton(np.zeros(0, np.uint64), np.zeros(0, np.int64), totals, strength, order)
+    def score(dealt: pa.Table, replies: pa.Table) -> pa.Table:
+        chunk = unpack_table(dealt.column("texts")[0].as_buffer())
+        keys, counts = _requests(chunk, order)
+        by_shard, found = np.argsort(replies.column("shard").to_numpy()), replies.column("totals").to_pylist()
+        model = Automaton(keys, np.concatenate([counts[:0], *(unpack(found[i]).astype(np.int64) for i in by_shard)]), totals, strength, order)
+        if len(model.counts) != len(keys) + 1:
+            raise RuntimeError("a chunk's answers are not those to its n-grams")
         n_tokens, known, base, full = [], [], [], []
         for _, tokens, at in texts_of(chunk):
             weight, c = model.traverse(tokens, at)
@@ -277,5 +323,5 @@ def score_texts(docs: DataFrame, train: Column | None = None, order: int = ORDER
         join = lambda x, k: pa.array(np.concatenate(x) if x else np.zeros(0), k)
         return pa.table({"doc_id": chunk.column("doc_id"), "held_out": held, "n_tokens": join(n_tokens, pa.int64()), "n_known": join(known, pa.int64()), "train_tokens": pa.array([totals.tokens] * len(held), pa.int64()), "base_score": join(base, pa.float64()), "score": join(full, pa.float64())})
 
-    slim = answers.select("chunk", "shard", "keys", "totals")
+    slim = answers.select("chunk", "shard", "totals")
     return dealt.groupBy("chunk").cogroup(slim.groupBy("chunk")).applyInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -26,10 +26,10 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """The rows of `df`, written once and read back; later failures restart from the files."""
+def saved(df: DataFrame, name: str, **options: int) -> DataFrame:
+    """The rows of `df`, written once and read back; later failures restart from the files. options: of the Parquet writer."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     trim_driver(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
