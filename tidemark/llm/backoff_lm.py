@@ -152,11 +152,17 @@ def _requests(chunk: pa.Table, order: int) -> tuple[np.ndarray, np.ndarray]:
             keys.append((k << np.uint64(1) | in_train)[k > 0])
     if not keys:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    flat = np.concatenate(keys)
-    flat.sort()
-    keys_only = flat >> np.uint64(1)
-    new = np.flatnonzero(np.concatenate([[True], keys_only[1:] != keys_only[:-1]]))
-    return keys_only[new], np.add.reduceat((flat & np.uint64(1)).astype(np.int64), new)
+    # a chunk's n-grams are several times its texts: no more copies than needed are alive at once
+    both, end = np.empty(sum(map(len, keys)), np.uint64), 0
+    while keys:
+        part = keys.pop()
+        both[end : end + len(part)] = part
+        end += len(part)
+    both.sort()
+    new = np.flatnonzero(np.concatenate([[True], both[1:] ^ both[:-1] > np.uint64(1)]))
+    found = both[new] >> np.uint64(1)
+    both &= np.uint64(1)
+    return found, np.add.reduceat(both, new).astype(np.int64)
 
 
 @dataclass(frozen=True)
@@ -195,6 +201,7 @@ class Automaton:
         for length, keys in enumerate(ngrams(tokens, at, self.order)):
             found = np.full(len(keys), ROOT, np.int64)
             real = np.flatnonzero(keys)
+            real = real[np.argsort(keys[real])]  # ascending needles keep the search in the processor's caches
             found[real] = np.searchsorted(self.keys, keys[real])
             found[real[self.counts[found[real]] == 0]] = ROOT
             moved = np.empty_like(found)
