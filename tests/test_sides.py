@@ -74,6 +74,23 @@ def test_a_join_of_few_bytes_is_not_left_to_one_task(spark, tmp_path, broadcast)
     assert view.query_mv().count() == 90_000 and (tasks > 1 or broadcast != "0")
 
 
+def test_blocks_of_left_rows_lose_none_and_take_little_room(spark, tmp_path):
+    """Of each key some left rows, from few to more than a block in each share; written, a pair takes some two bits."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "0")
+    dl = Catalog(spark, "dl", str(tmp_path))
+    held = [1, 7, 8, 9, 300, 1030, 2050, 2800]
+    dl.create("a", spark.createDataFrame([(k, v) for k, n in enumerate(held) for v in range(n)], "k int, v int").selectExpr("k", "1000 * v + k AS v"))
+    dl.create("b", spark.range(8 * 701).selectExpr("CAST(id % 8 AS INT) AS k", "1000003 * id AS h"))
+    view = compile_ivm("SELECT a.v, b.h FROM a JOIN b ON a.k = b.k", spark=spark, catalogs={"dl": dl}, name="mv", stored=SIDES)
+    view.create()
+    view.query_mv().write.parquet(f"{tmp_path}/out")
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert out.count() == out.distinct().count() == 701 * sum(held)
+    assert out.where("v % 1000 <> h / 1000003 % 8").isEmpty()
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 0.3 * 701 * sum(held)
+
+
 @pytest.mark.parametrize("sql", ["SELECT v FROM a", "SELECT a.k, COUNT(*) AS n FROM a JOIN b ON a.k = b.k GROUP BY a.k", "SELECT a.v FROM a JOIN b ON a.k = b.k LIMIT 3"])
 def test_other_views_are_refused(spark, tmp_path, sql):
     dl = Catalog(spark, "dl", str(tmp_path))

@@ -96,3 +96,8 @@ class Catalyst:
         """Expressions of the left and the right side that a join sets equal."""
         found = self.jvm.org.apache.spark.sql.catalyst.planning.ExtractEquiJoinKeys.unapply(join)
         return None if found.isEmpty() else (self.items(found.get()._2()), self.items(found.get()._3()))
+
+    def other_condition(self, join):
+        """What a join with `equi_keys` asks of its rows besides them; None if nothing."""
+        rest = self.jvm.org.apache.spark.sql.catalyst.planning.ExtractEquiJoinKeys.unapply(join).get()._4()
+        return None if rest.isEmpty() else rest.get()

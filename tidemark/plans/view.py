@@ -8,7 +8,7 @@ import re
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException, ParseException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.bag import W, minus, net
@@ -23,6 +23,8 @@ INCREMENTAL, FULL = "incremental", "full_refresh"
 ROWS, SIDES = "rows", "sides"
 #: Parts that the left rows of a key are dealt into where a large join is made when it is read; the right rows go to each.
 SHARES = 4
+#: Left rows of a key that are joined together there: a multiple of the eight values that Parquet packs at a time.
+BLOCK = 256
 _ABOVE = {"Project", "Filter", "Sort", "SubqueryAlias"}
 _JOINS = {"Inner": "join", "Cross": "join", "LeftOuter": "left_join", "RightOuter": "right_join", "FullOuter": "full_join"}
 _AGGREGATES = {"Sum": "sum", "Count": "count", "Average": "avg", "Min": "min", "Max": "max"}
@@ -343,7 +345,7 @@ def _sides(c: Catalyst, plan) -> list:
 
 
 def _dealt(c: Catalyst, join):
-    """A join of two large tables, dealt out by its keys and a share of the left rows to as many tasks as a shuffle has.
+    """A join of two large tables, dealt out by its keys and a share of the left rows to SHARES times as many tasks as a shuffle has.
 
     What such a join makes can outgrow by far what it reads, so tasks are not put
     together by the size of their input, and the rows of a key are not one task's.
@@ -354,16 +356,43 @@ def _dealt(c: Catalyst, join):
         return join
     if min(int(c.optimized(df).stats().sizeInBytes()) for df in frames) <= conf.autoBroadcastJoinThreshold():
         return join
+    tasks = SHARES * conf.numShufflePartitions()
+    if join.joinType().toString() == "Inner":
+        return _in_blocks(c, join, keys, tasks)
     left = frames[0].withColumn(W, F.pmod(F.xxhash64(*frames[0].columns), F.lit(SHARES)).cast("int"))
     right = frames[1].withColumn(W, F.explode(F.array(*[F.lit(i) for i in range(SHARES)])))
     bound = [c.bound(df, c.output(x)) for df, x in zip((left, right), sides, strict=True)]
     share, some = [c.output(x)[-1] for x in bound], c.jvm.scala.Option
-    tasks = some.apply(conf.numShufflePartitions())
-    dealt = [c._logical.RepartitionByExpression(c.seq([*k, w]), x, tasks, some.empty()) for k, w, x in zip(keys, share, bound, strict=True)]
+    dealt = [c._logical.RepartitionByExpression(c.seq([*k, w]), x, some.apply(tasks), some.empty()) for k, w, x in zip(keys, share, bound, strict=True)]
     on = c._expressions.And(join.condition().get(), c._expressions.EqualTo(*share))
     return c.project(c.output(join), c._logical.Join(*dealt, join.joinType(), some.apply(on), join.hint()))
 
 
+def _in_blocks(c: Catalyst, join, keys: tuple[list, list], tasks: int):
+    """An inner join, dealt out, that gives for BLOCK left rows and each right row in turn all their pairs.
+
+    So the right columns stay the same over a block, and the left ones come again
+    after it: Parquet keeps such rows in a fraction of what it needs where a left
+    row meets all right ones first. Blocks of other than a multiple of eight rows
+    would not come again at a whole byte; what is over is a block of its own.
+    """
+    sides, n = c.children(join), len(keys[0])
+    wide = [c.frame(c.project([*c.output(x), *[c.alias(k, "k") for k in ks]], x)) for x, ks in zip(sides, keys, strict=True)]
+    left, right = (df.toDF(*[f"{side}{i}" for i in range(len(df.columns) - n)], *[f"{side}k{i}" for i in range(n)]) for side, df in zip("ab", wide, strict=True))
+    own, others, on = left.columns[:-n], right.columns[:-n], [left.columns[-n:], right.columns[-n:]]
+    left = left.withColumn("aw", F.pmod(F.xxhash64(*own), F.lit(SHARES)).cast("int")).repartition(tasks, *on[0], "aw")
+    right = right.withColumn("bw", F.explode(F.array(*[F.lit(i) for i in range(SHARES)]))).repartition(tasks, *on[1], "bw")
+    by = [*on[0], "aw"]
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64(*own)))
+    rows = left.withColumn("block", F.floor((place - 1) / BLOCK)).groupBy(*by, "block").agg(F.collect_list(F.struct(*own)).alias("rows"))
+    whole = F.size("rows") - F.size("rows") % 8
+    blocks = rows.select(*by, F.explode(F.array(F.slice("rows", F.lit(1), whole), F.slice("rows", whole + 1, F.size("rows") % 8))).alias("rows"))
+    met = blocks.join(right, [blocks[a] == right[b] for a, b in zip(by, [*on[1], "bw"], strict=True)])
+    pairs = c.bound(met.select(F.inline("rows").alias(*own), *others), c.output(join))
+    rest = c.other_condition(join)
+    return pairs if rest is None else c._logical.Filter(rest, pairs)
+
+
 def _folder(path: str) -> str:
     return re.sub(r"^file:/+", "/", path).rstrip("/")
 
